@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,7 +47,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, *tags: str) -> None:
+        """Delete these tables; then let Spark's cleaner see the shuffles that only they needed."""
         jvm = self.spark._jvm
         for tag in tags:
             path = jvm.org.apache.hadoop.fs.Path(self.path(tag))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
