@@ -49,6 +49,8 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
     is bounded by that share.
     """
     least = max(1000, int(total * HOT_SHARE))
+    if total < least:
+        return rows.join(groups, keys, how)
     hot = groups.where(F.col(size) >= least)
     cold = groups.where(F.col(size) < least)
     mark = fresh(rows, "is_hot")[0]

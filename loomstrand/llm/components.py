@@ -16,31 +16,30 @@ from .common import hot_join
 
 def _smallest(links: DataFrame, total: int) -> DataFrame:
     """Each link (u, v) with m: the smallest of u and its neighbours."""
-    m = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
+    m = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("m", "u"))
     return hot_join(links, m, ["u"], "size", total).select("u", "v", "m")
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another node."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(scratch: Scratch, links: DataFrame, tag: str = "links") -> DataFrame:
     """(node, root) of every node in links (a, b) of longs; root is the smallest node."""
     now = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, turn = scratch.write(now, f"{tag}-0"), 0
-    state = _state(now)
-    while state[0]:
+    while not _stars(now):
+        n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _smallest(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large, f"{tag}-large-{turn}")
-        small = _smallest(large, state[0])
+        small = _smallest(large, n)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
         now = scratch.write(small, f"{tag}-{turn}")
         scratch.drop(f"{tag}-{turn - 1}", f"{tag}-large-{turn - 1}")
-        before, state = state, _state(now)
-        if state == before:
-            break
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -46,6 +46,8 @@ SHORT, LONG = 128, 100
 WIDTH_BITS, PARTS, FAN = 22, 64, 64
 #: A shingle in less than this share of documents has the full weight 1, one in all has FLOOR.
 RARE, FLOOR = 1e-3, 0.7
+#: Pivots a turn of a bucket with several components; members of a bucket all of whose pairs are compared at once.
+PIVOTS, SMALL = 4, 16
 #: Comparisons that one pivot's copy serves; a pivot of more is copied again.
 SERVES = 500
 
@@ -298,17 +300,29 @@ def first_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 
 def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
     """New pairs from the buckets that hold several components: each member
-    with another pivot of the bucket, small buckets with all of theirs."""
+    with PIVOTS other pivots of the bucket, small buckets with all of theirs."""
     rooted = held.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), F.xxhash64("node", F.lit(turn))).alias("of"))
-    split = split.where("low <> high").select("bucket", "of.*")
-    open_ = rooted.join(split, "bucket")
-    pairs = open_.where("root <> pivot_root").select(F.greatest("pivot", "node").alias("node"), F.least("pivot", "node").alias("pivot"))
-    few = open_.where(F.col("size") <= 16)
-    pairs = pairs.unionByName(few.alias("x").join(few.alias("y"), "bucket").where("x.root <> y.root and x.node < y.node").select(F.col("y.node").alias("node"), F.col("x.node").alias("pivot")))
+    pivot = lambda k: F.min_by(F.struct(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), F.xxhash64("node", F.lit(PIVOTS * turn + k)))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*[pivot(k) for k in range(PIVOTS)]).alias("of"))
+    open_ = rooted.join(split.where("low <> high").select("bucket", F.array_distinct("of").alias("of")), "bucket")
+    pairs = open_.select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
+    few = open_.where(F.col("size") <= SMALL)
+    pairs = pairs.unionByName(few.groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all")).select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root")))
+    pairs = pairs.where("root <> pivot_root").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
     return pairs.distinct().join(tested, ["pivot", "node"], "left_anti").select("pivot", "node")
 
 
+def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """(node, root) after more links; only their ends' components are joined anew."""
+    ends = found
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    above = components(scratch, ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), f"graph-{turn}")
+    above = scratch.write(above.select(F.col("node").alias("root"), F.col("root").alias("top")), f"above-{turn}")
+    known = roots.join(sized(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.unionByName(above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti"))
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST) -> tuple[Scratch, DataFrame, DataFrame]:
     """Stored rows (doc_id, key) and, for each key, (key, class_id, class_size, keep)."""
     scratch = Scratch(spark, "near")
@@ -324,15 +338,18 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     words = texts.select("text").mapInArrow(worded(), "key binary, words binary").join(sized(wanted), "key")
     words = scratch.write(words.groupBy("node", "words").agg(F.lit(1).alias("one")).drop("one"), "words")
     links = scratch.write(verified(pairs, words, size, least, level), "found-0")
+    roots = scratch.write(components(scratch, links, "graph-0"), "roots-0")
     tested, turn = pairs, 0
     while True:
-        roots = scratch.write(components(scratch, links, f"graph-{turn}"), f"roots-{turn}")
         turn += 1
         pairs = scratch.write(next_pairs(held, roots, tested, turn), f"pairs-{turn}")
+        if pairs.isEmpty():
+            break
         found = scratch.write(verified(pairs, words, size, least, level), f"found-{turn}")
         if found.isEmpty():
             break
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        roots = scratch.write(merged(scratch, roots, found, turn), f"roots-{turn}")
+        tested = tested.unionByName(pairs)
     scratch.drop("words", "members")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("members"))

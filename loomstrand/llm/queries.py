@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, near_dedup, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, mixing, near_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat_format.report(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(spark, _table(spark, sf_dir, "documents"), with_text=False)
 
@@ -30,6 +39,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_chat_format": op3_chat_format,
+    "op4_mixing": op4_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -54,6 +65,51 @@ t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+""",
+    "op3_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), e AS (
+  SELECT *, len(role) + len(text) + 24
+         + len(role) - len(replace(role, chr(10), ''))
+         + len(role || text) - len(replace(role || text, chr(92), ''))
+         + len(regexp_extract_all(role, '<\||</?s>|</?SYS>>|\[/?INST\]')) + len(regexp_extract_all(text, '<\||</?s>|</?SYS>>|\[/?INST\]')) AS n
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op4_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+), f AS (
+  SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, row_number() OVER o AS place,
+         (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE
+          - coalesce(sum(CAST(2 * source_size AS DOUBLE)) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, rank)
+), l AS (SELECT min_by(level, place) AS level FROM f WHERE level * weight <= cap),
+t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, coalesce(l.level * weight, cap)) AS target FROM f, l
+), b AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM t
+), k AS (
+  SELECT source, size, key, count(*) AS copies,
+         coalesce(sum(size * count(*)) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d GROUP BY source, size, key
+)
+SELECT d.doc_id, d.size, b.source_size, b.target,
+       CAST(d.size * passes + least(d.size, greatest(0, (budget - passes * source_size - before) // copies)) AS BIGINT) AS taken
+FROM d JOIN k ON k.key = d.key AND k.source IS NOT DISTINCT FROM d.source JOIN b ON b.source IS NOT DISTINCT FROM d.source
 """,
     "op8_substring_dedup": r"""
 WITH d AS (
