@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, mixing, near_dedup, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, mixing, near_dedup, secret_scan, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, _table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(spark, _table(spark, sf_dir, "documents"), with_text=False)
 
@@ -41,6 +49,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -110,6 +120,16 @@ t AS (
 SELECT d.doc_id, d.size, b.source_size, b.target,
        CAST(d.size * passes + least(d.size, greatest(0, (budget - passes * source_size - before) // copies)) AS BIGINT) AS taken
 FROM d JOIN k ON k.key = d.key AND k.source IS NOT DISTINCT FROM d.source JOIN b ON b.source IS NOT DISTINCT FROM d.source
+""",
+    "op7_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages
+), r AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS rn FROM p
+)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND rn > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND rn > 1 THEN first END AS refers_to FROM r
 """,
     "op8_substring_dedup": r"""
 WITH d AS (
