@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, mixing, near_dedup, secret_scan, substring_dedup, warc
+from . import chat_format, decontaminate, exact_dedup, mixing, near_dedup, secret_scan, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(spark, _table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
