@@ -299,13 +299,15 @@ def first_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 
 
 def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """New pairs from the buckets that hold several components: each member
-    with PIVOTS other pivots of the bucket, small buckets with all of theirs."""
+    """New pairs from the buckets that hold several components: members outside
+    the first pivot's component with PIVOTS members of the bucket, any of which
+    is likely to be of its largest component; small buckets with all of theirs."""
     rooted = held.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pivot = lambda k: F.min_by(F.struct(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), F.xxhash64("node", F.lit(PIVOTS * turn + k)))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*[pivot(k) for k in range(PIVOTS)]).alias("of"))
     open_ = rooted.join(split.where("low <> high").select("bucket", F.array_distinct("of").alias("of")), "bucket")
-    pairs = open_.select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
+    outside = open_.where(F.col("root") != F.get("of", F.lit(0))["pivot_root"])
+    pairs = outside.select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
     few = open_.where(F.col("size") <= SMALL)
     pairs = pairs.unionByName(few.groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all")).select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root")))
     pairs = pairs.where("root <> pivot_root").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
