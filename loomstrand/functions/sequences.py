@@ -78,10 +78,15 @@ def reverse_index(index: str | Column, k: int = K) -> Column:
 
 def from_indices(indices: str | Column, k: int = K) -> Column:
     """The sequence whose windows have these numbers; an error if neighbours don't overlap in k - 1 bases."""
-    windows = F.transform(_col(indices), lambda i: index_kmer(i, k))
-    fits = F.forall(F.sequence(F.lit(1), F.greatest(F.size(windows) - 1, F.lit(1))), lambda i: F.coalesce(F.get(windows, i).isNull() | (F.substring(F.get(windows, i - 1), 2, k - 1) == F.substring(F.get(windows, i), 1, k - 1)), F.lit(True)))
-    joined = F.concat(F.coalesce(F.get(windows, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(windows, 2, F.greatest(F.size(windows) - 1, F.lit(0))), lambda w: F.substring(w, k, 1)), ""))
-    return F.when(fits, joined).otherwise(F.raise_error(F.lit("neighbouring k-mers do not overlap")))
+
+    def joined(windows: Column) -> Column:
+        fits = F.forall(F.sequence(F.lit(1), F.greatest(F.size(windows) - 1, F.lit(1))), lambda i: F.coalesce(F.get(windows, i).isNull() | (F.substring(F.get(windows, i - 1), 2, k - 1) == F.substring(F.get(windows, i), 1, k - 1)), F.lit(True)))
+        ends = F.transform(F.slice(windows, 2, F.greatest(F.size(windows) - 1, F.lit(0))), lambda w: F.substring(w, k, 1))
+        out = F.concat(F.coalesce(F.get(windows, F.lit(0)), F.lit("")), F.array_join(ends, ""))
+        return F.when(fits, out).otherwise(F.raise_error(F.lit("neighbouring k-mers do not overlap")))
+
+    # bound once: a plain column would be computed again for each element
+    return F.get(F.transform(F.array(F.transform(_col(indices), lambda i: index_kmer(i, k))), joined), F.lit(0))
 
 
 def kmer_table(spark: SparkSession, k: int = K) -> DataFrame:

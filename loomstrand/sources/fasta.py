@@ -60,7 +60,7 @@ def read_two_columns(spark: SparkSession, path: str, keep_first: bool = True) ->
 def normalised(contigs: DataFrame, orientation: DataFrame, prefix: str = "") -> DataFrame:
     """The contigs with an orientation, read forward, names after ``prefix``."""
     rows = contigs.join(orientation, "contig_id")
-    return rows.select(F.concat(F.lit(prefix), "contig_id").alias("contig_id"), F.when("forward", F.col("seq")).otherwise(reverse_complement("seq", strict=True)).alias("seq"))
+    return rows.select(F.concat(F.lit(prefix), "contig_id").alias("contig_id"), F.when(F.col("forward"), F.col("seq")).otherwise(reverse_complement("seq", strict=True)).alias("seq"))
 
 
 def kept_and_skipped(contigs: DataFrame, orientation: DataFrame) -> DataFrame:
