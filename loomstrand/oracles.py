@@ -182,5 +182,5 @@ m AS (SELECT query, arg_max(pct, line) AS pct, arg_max(match_len, line) AS match
 SELECT contig_id, pct, match_len, hit, bitscore, CAST(row_number() OVER (ORDER BY pct DESC NULLS LAST, match_len DESC NULLS LAST, bitscore DESC NULLS LAST, contig_id) AS INTEGER) AS place
 FROM classes LEFT JOIN m ON query = contig_id WHERE bin = 1""",
     "organism_pairs": "SELECT CAST(a.n_nationkey AS INTEGER) AS i, CAST(b.n_nationkey AS INTEGER) AS j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
-    "compared_runs": "SELECT count(*) AS n, round(avg(round(l_quantity * 2) - round(l_quantity + 3)), 6) AS mean, max(round(l_quantity * 2) - round(l_quantity + 3)) AS max, min(round(l_quantity * 2) - round(l_quantity + 3)) AS min FROM lineitem",
+    "compared_runs": "WITH d AS (SELECT CAST(floor(o_totalprice / 100) - floor(o_totalprice / 110) AS DOUBLE) AS d FROM orders) SELECT count(*) AS n, round(avg(d), 6) AS mean, max(d) AS max, min(d) AS min FROM d",
 }

@@ -427,12 +427,13 @@ def organism_pairs(spark, sf_dir):
 
 
 def compared_runs(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem")
-    left = rows.select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.round(F.col("l_quantity") * 2).alias("grade"))
-    right = rows.select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.round(F.col("l_quantity") + 3).alias("grade"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("j"), "o_totalprice")
+    left = rows.select("i", "j", F.floor(F.col("o_totalprice") / 100).cast("double").alias("grade"))
+    right = rows.select("i", "j", F.floor(F.col("o_totalprice") / 110).cast("double").alias("grade"))
     return _round(G.compared_runs(left, right))
 
 
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
