@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is written, at most.
+BATCH_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -40,6 +43,16 @@ class Scratch:
         return f"{self.root}/{tag}"
 
     def write(self, df: DataFrame, tag: str, *partition: str) -> DataFrame:
+        """Store ``df``. Rows go to Python workers BATCH_ROWS at a time, as some are long."""
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+        try:
+            return self._written(df, tag, *partition)
+        finally:
+            conf.set(name, before)
+
+    def _written(self, df: DataFrame, tag: str, *partition: str) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition:
             writer = writer.partitionBy(*partition)
