@@ -47,7 +47,7 @@ WIDTH_BITS, PARTS, FAN = 22, 64, 64
 #: A shingle in less than this share of documents has the full weight 1, one in all has FLOOR.
 RARE, FLOOR = 1e-3, 0.7
 #: Pivots a turn of a bucket with several components; members of a bucket all of whose pairs are compared at once.
-PIVOTS, SMALL = 4, 16
+PIVOTS, SMALL = 3, 8
 #: Comparisons that one pivot's copy serves; a pivot of more is copied again.
 SERVES = 500
 
@@ -290,28 +290,44 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float, level)
 
 
 def first_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node) of buckets of two and more; pairs of each with its bucket's smallest node."""
-    many = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    many = scratch.write(many, "buckets")
+    """Members (bucket, node, size, degree) of buckets of two and more; pairs of each with its bucket's most central member.
+
+    A node's degree is how many members its buckets have in all: the text that
+    a family was copied from is similar to most of it and has the highest.
+    """
+    many = scratch.write(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     total = many.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    held = scratch.write(hot_join(members, many, ["bucket"], "size", total), "members")
-    return held, held.where("node <> pivot").select("pivot", "node").distinct()
+    held = scratch.write(hot_join(members, many, ["bucket"], "size", total), "sized")
+    held = scratch.write(held.join(held.groupBy("node").agg(F.sum("size").alias("degree")), "node"), "members")
+    pivots = held.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.max("size").alias("of"))
+    pairs = hot_join(held.select("bucket", "node"), pivots, ["bucket"], "of", total).where("node <> pivot")
+    return held, untested(pairs, None)
+
+
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Each unordered pair (pivot, node) once, without those in tested."""
+    low, high = F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high")
+    once = pairs.groupBy(low, high).agg(F.min("pivot").alias("pivot"))
+    if tested is not None:
+        once = once.join(tested.select(low, high), ["low", "high"], "left_anti")
+    return once.select("pivot", F.when(F.col("pivot") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node"))
 
 
 def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
     """New pairs from the buckets that hold several components: members outside
-    the first pivot's component with PIVOTS members of the bucket, any of which
-    is likely to be of its largest component; small buckets with all of theirs."""
-    rooted = held.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pivot = lambda k: F.min_by(F.struct(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), F.xxhash64("node", F.lit(PIVOTS * turn + k)))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*[pivot(k) for k in range(PIVOTS)]).alias("of"))
-    open_ = rooted.join(split.where("low <> high").select("bucket", F.array_distinct("of").alias("of")), "bucket")
-    outside = open_.where(F.col("root") != F.get("of", F.lit(0))["pivot_root"])
+    the component of the most central member with it and with others that are
+    central, other ones each turn; small buckets with all of theirs."""
+    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chance = lambda k: F.pmod(F.xxhash64("node", F.lit(PIVOTS * turn + k)), F.lit(1000)) / 1000 if k else F.lit(1.0)
+    pivot = lambda k: F.max(F.struct((F.col("degree") * chance(k)).alias("rank"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root")))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[pivot(k).alias(f"of{k}") for k in range(PIVOTS)])
+    split = split.where("low <> high").select("bucket", F.array(*[F.struct(f"of{k}.pivot", f"of{k}.pivot_root") for k in range(PIVOTS)]).alias("of"))
+    open_ = rooted.join(split, "bucket")
+    outside = open_.where((F.col("root") != F.get("of", F.lit(0))["pivot_root"]) & (F.col("size") > SMALL))
     pairs = outside.select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
-    few = open_.where(F.col("size") <= SMALL)
-    pairs = pairs.unionByName(few.groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all")).select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root")))
-    pairs = pairs.where("root <> pivot_root").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-    return pairs.distinct().join(tested, ["pivot", "node"], "left_anti").select("pivot", "node")
+    few = open_.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all"))
+    few = few.select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root"))
+    return untested(pairs.unionByName(few).where("root <> pivot_root"), tested)
 
 
 def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int) -> DataFrame:
