@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as flat numpy arrays: words, their hashes, runs of words.
 
-A block is a megabyte of UTF-8 from whole texts, so the arrays below stay
+A block is a quarter of a megabyte of UTF-8 from whole texts, so the arrays below stay
 small whatever a batch holds. One text longer than that is a block of its own.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _STEP, _STEP_BACK = 0xD6E8FEB86659FD93 | 1, pow(0xD6E8FEB86659FD93 | 1, -1, 1 << 64)

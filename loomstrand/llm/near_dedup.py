@@ -157,13 +157,13 @@ _DONORS = (mix(np.arange(SAMPLES * SAMPLES, dtype=np.uint64) + np.uint64(99)) %
 def short_samples(grams: Grams, logs: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Samples of the texts, each drawn over all shingles of the text."""
     out = np.zeros((len(texts), SAMPLES), np.uint64)
-    for low in range(0, len(texts), 64):
-        some = texts[low : low + 64]
+    for low in range(0, len(texts), 16):
+        some = texts[low : low + 16]
         lengths = grams.bounds[some + 1] - grams.bounds[some]
         at = np.concatenate([np.arange(grams.bounds[i], grams.bounds[i + 1]) for i in some])
         starts = np.cumsum(lengths) - lengths
         values, names = _drawn(grams.hashes[at][:, None], logs[at][:, None], _SEEDS[None, :])
-        out[low : low + 64] = _least_at(values, names, starts)
+        out[low : low + 16] = _least_at(values, names, starts)
     return out
 
 

@@ -191,7 +191,7 @@ def window_counts(strings: pa.Array, times: np.ndarray, window: int, hashed=None
     return block, first, np.bincount(group, weight).astype(np.int64)[group]
 
 
-def count_windows(window: int, most: int = 4 * BLOCK_BYTES):
+def count_windows(window: int, most: int = 8 * BLOCK_BYTES):
     """Sorted rows (bucket, sid, packed, n): flags of the windows that repeat, for each string that has any."""
 
     def flagged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
