@@ -29,7 +29,7 @@ from .common import fresh, hot_join, sized, text_of
 WINDOW, GRAM = 10, 4
 #: The characters of a word, after A-Z are lower-cased, and before.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
