@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -27,6 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextlib.contextmanager
+def interpreted(spark: SparkSession, small: bool):
+    """Plans started in this block run without whole-stage code if their tables are ``small``.
+
+    Loops over small tables start many different plans; compiling each costs
+    more time and native memory of the executors than it saves. Large tables
+    keep compiled code.
+    """
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    if small:
+        spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Parquet tables of one run below the shared folder.
 
