@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..operators.graph import components
+from ..scratch import Scratch, interpreted
 from .blocks import Block, Powers, blocks, mix, plain_words
 from .common import fresh, hot_join, sized, text_of
-from .components import components
 
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -48,6 +48,8 @@ WIDTH_BITS, PARTS, FAN = 22, 64, 64
 RARE, FLOOR = 1e-3, 0.7
 #: Pivots a turn of a bucket with several components; members of a bucket all of whose pairs are compared at once.
 PIVOTS, SMALL = 3, 8
+#: Bucket members up to which the loop over them runs interpreted plans.
+SMALL_ROWS = 2_000_000
 #: Comparisons that one pivot's copy serves; a pivot of more is copied again.
 SERVES = 500
 
@@ -324,7 +326,8 @@ def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int)
     split = split.where("low <> high").select("bucket", F.array(*[F.struct(f"of{k}.pivot", f"of{k}.pivot_root") for k in range(PIVOTS)]).alias("of"))
     open_ = rooted.join(split, "bucket")
     outside = open_.where((F.col("root") != F.get("of", F.lit(0))["pivot_root"]) & (F.col("size") > SMALL))
-    pairs = outside.select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
+    # a family's buckets mostly agree on their central members: each choice once
+    pairs = outside.select("node", "root", "of").distinct().select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
     few = open_.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all"))
     few = few.select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root"))
     return untested(pairs.unionByName(few).where("root <> pivot_root"), tested)
@@ -356,18 +359,19 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     words = texts.select("text").mapInArrow(worded(), "key binary, words binary").join(sized(wanted), "key")
     words = scratch.write(words.groupBy("node", "words").agg(F.lit(1).alias("one")).drop("one"), "words")
     links = scratch.write(verified(pairs, words, size, least, level), "found-0")
-    roots = scratch.write(components(scratch, links, "graph-0"), "roots-0")
     tested, turn = pairs, 0
-    while True:
-        turn += 1
-        pairs = scratch.write(next_pairs(held, roots, tested, turn), f"pairs-{turn}")
-        if pairs.isEmpty():
-            break
-        found = scratch.write(verified(pairs, words, size, least, level), f"found-{turn}")
-        if found.isEmpty():
-            break
-        roots = scratch.write(merged(scratch, roots, found, turn), f"roots-{turn}")
-        tested = tested.unionByName(pairs)
+    with interpreted(spark, held.count() <= SMALL_ROWS):
+        roots = scratch.write(components(scratch, links, "graph-0"), "roots-0")
+        while True:
+            turn += 1
+            pairs = scratch.write(next_pairs(held, roots, tested, turn), f"pairs-{turn}")
+            if pairs.isEmpty():
+                break
+            found = scratch.write(verified(pairs, words, size, least, level), f"found-{turn}")
+            if found.isEmpty():
+                break
+            roots = scratch.write(merged(scratch, roots, found, turn), f"roots-{turn}")
+            tested = tested.unionByName(pairs)
     scratch.drop("words", "members")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("members"))
