@@ -27,8 +27,8 @@ from ..scratch import Scratch
 
 #: Bases of the longest context; bases that must follow a state, more than; states of all models together.
 DEPTH, SUPPORT, MAX_STATES = 40, 50, 2_000_000
-#: Levels counted in one pass: first, then at a time.
-FIRST_LEVELS, NEXT_LEVELS = 4, 3
+#: Levels counted in one pass, by the level reached: few while most places still extend, many once few do.
+PASSES = ((0, 4), (4, 2), (8, 8))
 
 _CODES = np.full(256, 4, np.int8)
 _CODES[[65, 67, 71, 84]] = range(4)
@@ -171,13 +171,15 @@ def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, dep
     clusters = sorted(r["cluster"] for r in members.select("cluster").distinct().collect())
     models, have = Models.rooted(clusters), 0
     while have < depth and clusters:
-        more = min(FIRST_LEVELS if not have else NEXT_LEVELS, depth - have)
+        more = min([step for least, step in PASSES if have >= least][-1], depth - have)
         shared = spark.sparkContext.broadcast(models)
         sums = members.select("seq", "reverse", "cluster").mapInArrow(_extensions(shared, have, more), "node long, code long, size long, base long, n long")
         n = [F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(f"n{b}") for b in range(4)]
         rows = sums.groupBy("node", "code", "size").agg(*n).where((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") > support) | (F.col("size") == 0))
-        rows = rows.limit(max_states).toArrow()  # bounded: states of one pass
+        rows = rows.limit(max_states + 1).toArrow()
         shared.unpersist()
+        if len(rows) > max_states:  # no room for this pass: the tries stay as they are
+            break
         table = {c: rows[c].to_numpy() for c in rows.column_names}
         found = {(int(a), 0, 0): int(a) for a in np.unique(table["node"])} if len(rows) else {}
         grown = 0
