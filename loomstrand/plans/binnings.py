@@ -17,7 +17,7 @@ from ..operators import clusters as C
 from ..operators.distances import chi_squared, variation_pairs
 from ..operators.grading import length_thresholds
 from ..operators.kmers import _reverse_number, profiles, shares
-from ..scratch import Scratch
+from ..scratch import Scratch, interpreted
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,17 @@ def spread(contigs: DataFrame) -> DataFrame:
     return contigs.repartition(n, "contig_id")
 
 
+#: Contigs up to which the loops run interpreted plans: their work on sequences is in numpy either way.
+SMALL_CONTIGS = 1_000_000
+
+
 def by_distance(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings = DistanceSettings()) -> tuple[DataFrame, DataFrame]:
     """(contig_id, bin) and (contig_id) unbinned, of contigs (contig_id, seq, len)."""
+    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+        return _by_distance(spark, contigs, settings)
+
+
+def _by_distance(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "distance")
     own = scratch.write(profiles(spread(contigs), settings.k).select("contig_id", shares("counts").alias("p")), "shares")
     lens = contigs.select("contig_id", "len")
@@ -154,6 +163,11 @@ def settled(spark: SparkSession, scratch: Scratch, state: DataFrame, n: int, set
 
 def by_models(spark: SparkSession, contigs: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
     """The final state (contig_id, len, cluster, reverse, active) of model binning."""
+    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+        return _by_models(spark, contigs, settings)
+
+
+def _by_models(spark: SparkSession, contigs: DataFrame, settings: ModelSettings) -> DataFrame:
     scratch = Scratch(spark, "models")
     state, n = seeded(spark, scratch, contigs, settings)
     for least in settings.thresholds:
@@ -175,6 +189,11 @@ def by_both(spark: SparkSession, contigs: DataFrame, distance: DistanceSettings
     ``contigs`` may have ``reverse``. Models learn the read direction; scores
     are taken of the sequence as it is stored.
     """
+    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+        return _by_both(spark, contigs, distance, settings)
+
+
+def _by_both(spark: SparkSession, contigs: DataFrame, distance: DistanceSettings, settings: ModelSettings) -> DataFrame:
     scratch = Scratch(spark, "both")
     rows = contigs if "reverse" in contigs.columns else contigs.withColumn("reverse", F.lit(False))
     rows = scratch.write(spread(rows.select("contig_id", "seq", "len", "reverse")), "contigs")
