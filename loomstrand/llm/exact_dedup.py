@@ -12,8 +12,6 @@ stays; an empty table gives no rows; other columns are kept untouched.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,7 +161,3 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     again = marked.join(side := sized(repeated), match(side), "left_semi").withColumn(body, normalised(text_col))
     one = again.groupBy(F.col(id_col).alias(key), digest_col, body).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return out.unionByName(one.select("row.*"))
-
-
-def union(batches: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, batches)
