@@ -35,7 +35,7 @@ from .common import hot_join, text_of
 #: Bits of the table of repeated minimisers; 8 MB whatever the input.
 SCREEN_BITS = 1 << 26
 #: A minimiser is frequent from this many places on, or from this share.
-FREQUENT, FREQUENT_SHARE = 2000, 1e-6
+FREQUENT, FREQUENT_SHARE = 500, 1e-6
 _TOP = np.uint64(1 << 63)
 
 
