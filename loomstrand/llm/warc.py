@@ -9,10 +9,10 @@ own writer, so the store may be any that Spark reaches.
 Reading parses the files by their lengths, checks every payload against its
 digest, and rebuilds original records by joining headers with payloads.
 
-Defined results: a null payload is empty; payloads under the least length are
+Defined results: a null payload or address is empty; payloads under the least length are
 stored with each record; a null id sorts after all others and refers_to of its
-revisits is null; of rows that repeat id and payload one is the response and
-the others revisit it; an empty table makes an archive without records. A
+revisits is null; of rows that repeat id and payload the one with the smallest
+address is the response and the others revisit it; an empty table makes an archive without records. A
 record is held in memory whole, so a payload is limited to about 1 GB.
 """
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..joins import BROADCAST_ROWS
 from ..scratch import Scratch
 from .common import hot_join, text_of
 
@@ -42,69 +43,86 @@ def _digest(payload: str) -> Column:
     return F.sha2(text_of(payload), 256)
 
 
-def plan(pages: DataFrame, scratch: Scratch, id_col: str, payload_col: str, least: int) -> DataFrame:
-    """(id, digest, copies, bytes, refers, first) of the distinct records: ``refers`` if the payload is stored by the record with id ``first``."""
-    rows = pages.select(F.col(id_col).alias("id"), _digest(payload_col).alias("digest"), F.octet_length(text_of(payload_col)).cast("long").alias("bytes"))
-    rows = scratch.write(rows.groupBy("id", "digest", "bytes").agg(F.count("*").alias("copies")), "digests")
-    shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.sum("copies").alias("n")).where("n > 1")
+def _place(id_: str, url: str) -> Column:
+    """Order of the records of one payload: by id, nulls last, then by address."""
+    return F.struct(F.col(id_).isNull().alias("late"), F.col(id_).alias("id"), F.col(url).alias("url"))
+
+
+def plan(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
+    """(id, url, digest, bytes, copies, shared, first, leads) of the distinct records.
+
+    ``shared``: several records have the payload, and ``first`` is the id of the
+    one that stores it; ``leads``: it is (the first copy of) this record.
+    """
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), _digest(payload_col).alias("digest"), F.octet_length(text_of(payload_col)).cast("long").alias("bytes"))
+    rows = scratch.write(rows.groupBy("id", "url", "digest", "bytes").agg(F.count("*").alias("copies")), "digests")
+    shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(_place("id", "url")).alias("lead"), F.sum("copies").alias("n")).where("n > 1")
     shared = scratch.write(shared, "shared")
     total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     known = hot_join(rows, shared, ["digest"], "n", total, "left")
-    return known.select("id", "digest", "bytes", "copies", "first", F.coalesce(F.col("n") > 1, F.lit(False)).alias("shared"))
+    leads = F.col("n").isNull() | (_place("id", "url") == F.col("lead")) | (F.col("id").isNull() & F.col("lead.id").isNull() & (F.col("url") == F.col("lead.url")))
+    return scratch.write(known.select("id", "url", "digest", "bytes", "copies", F.col("n").isNotNull().alias("shared"), F.col("lead.id").alias("first"), leads.alias("leads")), "plan")
 
 
 def _header(kind: Column) -> Column:
-    """The exact header lines of a record, but for the length of its block."""
+    """The exact header of a record, up to its blank line."""
     refers = F.when(kind == "revisit", F.concat(F.lit(_LINE + "WARC-Refers-To: <urn:page:"), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(">" + _LINE + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit(""))
     return F.concat(
         F.lit("WARC/1.1" + _LINE + "WARC-Type: "), kind, F.lit(_LINE + "WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")),
-        F.lit(">" + _LINE + "WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7F]", "_"), F.lit(_LINE + "WARC-Payload-Digest: sha256:"), F.col("digest"), refers,
+        F.lit(">" + _LINE + "WARC-Target-URI: "), F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "_"), F.lit(_LINE + "WARC-Payload-Digest: sha256:"), F.col("digest"), refers,
+        F.lit(_LINE + "X-Payload-Length: "), F.col("bytes").cast("string"), F.lit(_LINE + "Content-Length: "), F.when(kind == "revisit", F.lit("0")).otherwise(F.col("bytes").cast("string")),
     )
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """A row for each record, with kind: of a shared payload one is the response."""
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.withColumn("kind", F.when(~F.col("shared") | (F.col("leads") & (F.col("copy") == 1)), "response").otherwise("revisit"))
+
+
 class Archive:
-    """An archive below a folder that all executors reach."""
+    """An archive below a folder that all executors reach: ``records`` are WARC
+    files with each payload once, ``headers`` is a table of every record's header."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.scratch = spark, Scratch(spark, "warc")
         self.path = path or self.scratch.path(f"archive-{uuid.uuid4().hex}")
 
     def write(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> None:
-        """Headers of all records to ``headers``; responses and revisits to ``records``."""
-        spark, known = self.spark, plan(pages, self.scratch, id_col, payload_col, least)
-        known = self.scratch.write(known.where("shared or copies > 1"), "plan")
-        rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_of(payload_col).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-        # a payload without copies is a response wherever it is read
-        known = known.withColumnRenamed("id", "known_id").withColumnRenamed("digest", "known_digest")
-        side = F.broadcast(known) if known.count() <= 200_000 else known
-        rows = rows.join(side, rows["id"].eqNullSafe(known["known_id"]) & (rows["digest"] == known["known_digest"]), "left").drop("known_id", "known_digest")
-        rows = rows.withColumn("bytes", F.octet_length("payload").cast("long"))
-        revisit = F.coalesce(F.col("shared") & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
-        repeats = F.coalesce(F.col("shared") & F.col("id").eqNullSafe(F.col("first")) & (F.col("copies") > 1), F.lit(False))
-        plain = self._records(rows.where(~repeats), revisit)
-        if not known.where("shared and copies > 1 and known_id <=> first").isEmpty():
-            one = rows.where(repeats).groupBy("id", "digest", "payload", "first", "bytes").agg(F.min("url").alias("url"), F.count("*").alias("copies"))
-            one = one.select("id", "digest", "payload", "first", "bytes", "url", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-            plain = plain.unionByName(self._records(one, F.col("copy") > 1))
-        plain.select("record").write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(f"{self.path}/records")
+        known = plan(pages, self.scratch, id_col, url_col, payload_col, least)
+        heads = _copies(known).select("id", "url", "digest", "bytes", F.col("kind").alias("record_type"), F.when(F.col("kind") == "revisit", F.col("first")).alias("refers_to"), _header(F.col("kind")).alias("header"))
+        heads.write.option("compression", "zstd").parquet(f"{self.path}/headers")
+        rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), text_of(payload_col).alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+        # a payload without copies is a response wherever it is read; only the others are looked up
+        some = known.where("shared").select(F.col("id").alias("known_id"), F.col("url").alias("known_url"), F.col("digest").alias("known_digest"), "copies", "shared", "first", "leads")
+        some = self.scratch.write(some, "shared-plan")
+        n = some.count()
+        rows = rows.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, rows["id"].eqNullSafe(some["known_id"]) & (rows["digest"] == some["known_digest"]) & (rows["url"] == some["known_url"]), "left")
+        rows = rows.select("id", "url", "digest", "bytes", "payload", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("shared", F.lit(False)).alias("shared"), "first", F.coalesce("leads", F.lit(True)).alias("leads"))
+        repeats = F.col("leads") & F.col("shared") & (F.col("copies") > 1)
+        kind = F.when(F.col("shared") & ~F.col("leads"), "revisit").otherwise("response")
+        records = self._records(rows.where(~repeats), kind)
+        if not some.where("leads and copies > 1").isEmpty():
+            one = rows.where(repeats).groupBy("id", "url", "digest", "bytes", "payload", "copies", "shared", "first", "leads").agg(F.lit(1).alias("one"))
+            records = records.unionByName(self._records(_copies(one), F.col("kind")))
+        records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(f"{self.path}/records")
 
     @staticmethod
-    def _records(rows: DataFrame, revisit: Column) -> DataFrame:
-        kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-        block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-        return rows.select(F.concat(_header(kind), F.lit(_LINE + "X-Payload-Length: "), F.col("bytes").cast("string"), F.lit(_LINE + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block).alias("record"))
+    def _records(rows: DataFrame, kind: Column) -> DataFrame:
+        return rows.select(F.concat(_header(kind), F.lit(_END), F.when(kind == "response", F.col("payload")).otherwise(F.lit(""))).alias("record"))
 
     def read(self, with_payload: bool = True) -> DataFrame:
         """(id, record_type, refers_to, url, header, digest, bytes, payload) of every record as it stands in the files."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{self.path}/records").select("content")
         return files.mapInArrow(parsed(with_payload), "id string, record_type string, refers_to string, url string, header string, digest string, bytes long, payload binary")
 
+    def headers(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/headers")
+
     def rebuilt(self) -> DataFrame:
-        """Original records: every header with its payload, revisits' from the response of that digest."""
-        rows = self.read()
-        heads = rows.select("id", "url", "header", "record_type", "refers_to", "digest")
-        payloads = rows.where("record_type = 'response'").groupBy("digest").agg(F.first("payload").alias("payload"))
-        return heads.join(payloads, "digest")
+        """Original records: every header with its payload, a revisit's from the response of that digest."""
+        payloads = self.read().where("record_type = 'response'").groupBy("digest", "payload").agg(F.lit(1).alias("one")).drop("one")
+        return self.headers().join(payloads, "digest")
 
 
 def _fields(head: str) -> dict[str, str]:

@@ -537,14 +537,15 @@ def test_secrets_odd(spark):
 
 def test_archive(spark, tmp_path):
     long_, short = "<p>é" + "x" * 120, "tiny"
-    rows = [(3, "u3", long_), (1, "u1", long_), (2, "u 2\n", long_ + "y"), (5, "u5", short), (6, "u6", short), (7, None, None), (8, "u8", "a\r\n\r\nWARC/1.1\r\n" * 20), (8, "u8b", "a\r\n\r\nWARC/1.1\r\n" * 20), (None, "n", long_)]
+    rows = [(3, "u3", long_), (1, "u1", long_), (2, "u 2\n", long_ + "y"), (5, "u5", short), (6, "u6", short), (7, None, None), (8, "u8", "a\r\n\r\nWARC/1.1\r\n" * 20), (8, None, "tiny"), (8, "", "tiny"), (8, "u8b", "a\r\n\r\nWARC/1.1\r\n" * 20), (None, "n", long_)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit("f"))
     archive = warc.Archive(spark, str(tmp_path / "archive"))
     archive.write(pages)
-    back = Counter((r["id"], bytes(r["payload"]).decode()) for r in archive.rebuilt().collect())
-    assert back == Counter((None if a is None else str(a), c or "") for a, _, c in rows)
+    back = Counter((r["id"], r["url"], bytes(r["payload"]).decode()) for r in archive.rebuilt().collect())
+    assert back == Counter((a, b or "", c or "") for a, b, c in rows)
+    assert Counter(r["header"] for r in archive.headers().collect()) == Counter(r["header"] for r in archive.read().collect())
     read = [(r["id"], r["record_type"], r["refers_to"]) for r in archive.read().collect()]
-    assert Counter(read) == Counter([("3", "revisit", "1"), ("1", "response", None), ("2", "response", None), ("5", "response", None), ("6", "response", None), ("7", "response", None), ("8", "response", None), ("8", "revisit", "8"), (None, "revisit", "1")])
+    assert Counter(read) == Counter([("3", "revisit", "1"), ("1", "response", None), ("2", "response", None), ("5", "response", None), ("6", "response", None), ("7", "response", None), ("8", "response", None), ("8", "response", None), ("8", "response", None), ("8", "revisit", "8"), (None, "revisit", "1")])
     got = {(r["page_id"], r["record_type"]): r for r in rows_of(warc.report(spark, pages))}
     assert got[(3, "revisit")]["payload_bytes"] == len(long_.encode()) and got[(3, "revisit")]["payload_digest"] == hashlib.sha256(long_.encode()).hexdigest()
     assert warc.report(spark, pages.where("false")).count() == 0
