@@ -221,7 +221,7 @@ def count_windows(window: int, most: int = 8 * BLOCK_BYTES):
                 n = int(new[0]) + 1 if len(new) else len(batch)
                 held.append(batch.slice(0, n))
                 size = int(sums[n - 1])
-                batch = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(n, len(batch)))) for c in batch.columns], batch.schema.names)
+                batch = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(n, len(batch)))) for c in batch.columns], schema=batch.schema)
         if held:
             yield from flagged(held)
 
