@@ -14,7 +14,7 @@ windows AS (
 counts AS (SELECT contig_id, kmer, count(*) AS n FROM windows WHERE kmer IS NOT NULL AND NOT contains(kmer, 'N') GROUP BY contig_id, kmer),
 shares AS (SELECT contig_id, kmer, n, n / sum(n) OVER (PARTITION BY contig_id) AS p FROM counts)"""
 _ORIENTATION = """
-orientation AS (SELECT coalesce(lang, '') || '_' || CAST(doc_id AS VARCHAR) AS contig_id, doc_id % 2 = 0 AS forward FROM documents WHERE doc_id % 3 <> 0)"""
+orientation AS (SELECT coalesce(lang, '') || '_' || CAST(doc_id AS VARCHAR) AS contig_id, toxic = 0 AS forward FROM documents JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id))"""
 _SELECTION = """
 ranked AS (SELECT contig_id, len(seq) AS len, row_number() OVER (ORDER BY len(seq), contig_id) AS rank, count(*) OVER () AS total FROM contigs),
 selection AS (SELECT contig_id, len, rank FROM ranked WHERE rank > CAST(floor(total * 85.0 / 100) AS BIGINT) AND rank <= CAST(floor(total * 95.0 / 100) AS BIGINT))"""

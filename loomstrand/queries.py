@@ -32,8 +32,9 @@ def _contigs(spark: SparkSession, sf_dir: str, unknown: bool = False) -> DataFra
 
 
 def _orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return docs.select(F.concat_ws("_", F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("contig_id"), (F.col("doc_id") % 2 == 0).alias("forward"))
+    """(contig_id, forward): labels stand for peptides; a contig without a label has no orientation."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    return rows.select(F.concat_ws("_", F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("contig_id"), (F.col("toxic") == 0).alias("forward"))
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
