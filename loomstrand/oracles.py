@@ -84,6 +84,18 @@ grades AS (
   SELECT CAST(bin AS INTEGER) AS bin, count(*) AS size, count(pct) AS comparable, count(*) FILTER (pct IS NULL) AS no_pct, round(coalesce(avg(pct), 0), 4) AS avg_pct, count(*) FILTER (pct > 99.0) AS over,
          count(*) FILTER (class = 'host') AS host, count(*) FILTER (class = 'symb') AS symb, count(*) FILTER (class = 'other') AS other
   FROM classes LEFT JOIN identity USING (contig_id) GROUP BY bin)"""
+_CHI = f"""{_CONTIGS}, {_BASES}, {_PAIRS.split("pairs AS")[0].strip().rstrip(",").replace("FROM selection s", "FROM (SELECT contig_id FROM contigs WHERE len(seq) >= 3000) s").replace("coalesce(p, 0) AS p", "coalesce(n, 0) AS n")},
+sums AS (SELECT contig_id, sum(n) AS t FROM dense GROUP BY contig_id),
+turned AS (SELECT contig_id, translate(reverse(kmer), 'ACGT', 'TGCA') AS kmer, n FROM dense),
+cells AS (
+  SELECT x.contig_id AS a, y.contig_id AS b, x.n AS na, y.n AS nb, z.n AS nz, sa.t AS ta, sb.t AS tb
+  FROM dense x JOIN dense y ON x.kmer = y.kmer AND x.contig_id < y.contig_id JOIN turned z ON z.contig_id = y.contig_id AND z.kmer = x.kmer
+  JOIN sums sa ON sa.contig_id = x.contig_id JOIN sums sb ON sb.contig_id = y.contig_id),
+chi AS (
+  SELECT a, b,
+         sum(CASE WHEN na + nb > 0 THEN pow(na - (na + nb) * ta / (ta + tb), 2) / greatest(0.01, (na + nb) * ta / (ta + tb)) + pow(nb - (na + nb) * tb / (ta + tb), 2) / greatest(0.01, (na + nb) * tb / (ta + tb)) ELSE 0 END) AS chi,
+         sum(CASE WHEN na + nz > 0 THEN pow(na - (na + nz) * ta / (ta + tb), 2) / greatest(0.01, (na + nz) * ta / (ta + tb)) + pow(nz - (na + nz) * tb / (ta + tb), 2) / greatest(0.01, (na + nz) * tb / (ta + tb)) ELSE 0 END) AS chi_reverse
+  FROM cells GROUP BY a, b)"""
 _STATS_OF = "count(*) AS n, round(avg(dist), 6) AS mean, round(min(dist), 6) AS min, round(max(dist), 6) AS max"
 
 
@@ -132,19 +144,19 @@ s AS (SELECT bin, count(*) AS size FROM source_bins GROUP BY bin),
 t AS (SELECT CAST(sum(size) AS BIGINT) AS total, coalesce(max(bin) FILTER (size * size > (SELECT sum(size) FROM s)), 1) AS large FROM s),
 grow AS (SELECT large AS last FROM t UNION ALL SELECT last + 1 FROM grow, t WHERE (SELECT sum(size) FROM s WHERE bin <= last) * (SELECT sum(size) FROM s WHERE bin <= last) < least(16, total) * total)
 SELECT bin, size FROM s WHERE bin <= (SELECT max(last) FROM grow)""",
-    "chi_squared_pairs": f"""WITH {_CONTIGS}, {_BASES}, {_PAIRS.split("pairs AS")[0].strip().rstrip(",").replace("FROM selection s", "FROM (SELECT contig_id FROM contigs WHERE len(seq) >= 3000) s").replace("coalesce(p, 0) AS p", "coalesce(n, 0) AS n")},
-sums AS (SELECT contig_id, sum(n) AS t FROM dense GROUP BY contig_id),
-turned AS (SELECT contig_id, translate(reverse(kmer), 'ACGT', 'TGCA') AS kmer, n FROM dense),
-cells AS (
-  SELECT x.contig_id AS a, y.contig_id AS b, x.n AS na, y.n AS nb, z.n AS nz, sa.t AS ta, sb.t AS tb
-  FROM dense x JOIN dense y ON x.kmer = y.kmer AND x.contig_id < y.contig_id JOIN turned z ON z.contig_id = y.contig_id AND z.kmer = x.kmer
-  JOIN sums sa ON sa.contig_id = x.contig_id JOIN sums sb ON sb.contig_id = y.contig_id),
-chi AS (
-  SELECT a, b,
-         sum(CASE WHEN na + nb > 0 THEN pow(na - (na + nb) * ta / (ta + tb), 2) / greatest(0.01, (na + nb) * ta / (ta + tb)) + pow(nb - (na + nb) * tb / (ta + tb), 2) / greatest(0.01, (na + nb) * tb / (ta + tb)) ELSE 0 END) AS chi,
-         sum(CASE WHEN na + nz > 0 THEN pow(na - (na + nz) * ta / (ta + tb), 2) / greatest(0.01, (na + nz) * ta / (ta + tb)) + pow(nz - (na + nz) * tb / (ta + tb), 2) / greatest(0.01, (na + nz) * tb / (ta + tb)) ELSE 0 END) AS chi_reverse
-  FROM cells GROUP BY a, b)
-SELECT a, b, round(chi, 3) AS chi, round(chi_reverse, 3) AS chi_reverse FROM chi WHERE least(chi, chi_reverse) <= 255""",
+    "chi_squared_pairs": f"WITH {_CHI} SELECT a, b, round(chi, 3) AS chi, round(chi_reverse, 3) AS chi_reverse FROM chi WHERE least(chi, chi_reverse) <= 255",
+    "seed_clusters": f"""WITH RECURSIVE {_CHI},
+both_links AS (SELECT a AS u, b AS v FROM chi WHERE least(chi, chi_reverse) <= 255 UNION SELECT b, a FROM chi WHERE least(chi, chi_reverse) <= 255),
+reach AS (SELECT u AS node, u AS root FROM both_links UNION SELECT v, root FROM reach JOIN both_links ON node = u),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degrees AS (SELECT u AS node, count(*) AS degree FROM both_links GROUP BY u),
+comps AS (SELECT root, max(degree) AS top, arg_min(node, (-degree, node)) AS first FROM roots JOIN degrees USING (node) GROUP BY root HAVING count(*) >= 6),
+numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY top DESC, first) AS INTEGER) AS cluster FROM comps)
+SELECT node AS contig_id, cluster FROM roots JOIN numbered USING (root)""",
+    "wide_keys": """
+WITH k AS (SELECT event_id, lpad(bin(event_id), 64, '0') || lpad(bin(event_id * 7919 + 13), 64, '0') AS x FROM events)
+SELECT event_id, CAST(xor(CAST(substr(x, 71) || repeat('0', 70) AS BIT), CAST('000' || left(x, 125) AS BIT)) AS VARCHAR) AS mixed_bits,
+       lpad(substr(x, 60, 66), 128, '0') AS part_bits, substr(x, 6, 60) = repeat('0', 60) AS no_head, left(x, 127) || '1' AS odd_bits FROM k""",
     "context_states": f"""{_MODELS}
 SELECT k.cluster, CAST(level AS INTEGER) AS level, k.context, n_a, n_c, n_g, n_t,
        round(max(w) FILTER (b = 'A'), 6) AS w_a, round(max(w) FILTER (b = 'C'), 6) AS w_c, round(max(w) FILTER (b = 'G'), 6) AS w_g, round(max(w) FILTER (b = 'T'), 6) AS w_t
