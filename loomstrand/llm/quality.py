@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
         ids = labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col)).distinct()
         ids = ids.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(most)
         texts = docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(ids), id_col)
-        out.append([r["text"].encode() for r in texts.dropDuplicates([id_col]).orderBy(id_col).limit(most).collect()])
+        out.append([r["text"].encode() for r in texts.groupBy(id_col).agg(F.min("text").alias("text")).orderBy(id_col).collect()])
     return out[0], out[1]
 
 
