@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import hot_join
+from ..joins import BROADCAST_ROWS, hot_join
 from ..scratch import Scratch
 
 
@@ -35,11 +35,11 @@ def components(scratch: Scratch, links: DataFrame, tag: str = "links") -> DataFr
         n = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.write(large, f"{tag}-large-{turn}")
+        large = scratch.write(large, f"{tag}-large-{turn}", small=n <= BROADCAST_ROWS)
         small = _smallest(large, n)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
-        now = scratch.write(small, f"{tag}-{turn}")
+        now = scratch.write(small, f"{tag}-{turn}", small=n <= BROADCAST_ROWS)
         scratch.drop(f"{tag}-{turn - 1}", f"{tag}-large-{turn - 1}")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch while a table is written, at most.
 BATCH_ROWS = 1000
 
+#: Files of a small table, at most.
+FEW = 8
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -61,8 +64,10 @@ class Scratch:
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
-    def write(self, df: DataFrame, tag: str, *partition: str) -> DataFrame:
-        """Store ``df``. Rows go to Python workers BATCH_ROWS at a time, as some are long."""
+    def write(self, df: DataFrame, tag: str, *partition: str, small: bool = False) -> DataFrame:
+        """Store ``df``, if it is known to be ``small`` in FEW files. Rows go to
+        Python workers BATCH_ROWS at a time, as some are long."""
+        df = df.coalesce(FEW) if small else df
         conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = conf.get(name)
         conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
