@@ -315,16 +315,16 @@ def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return once.select("pivot", F.when(F.col("pivot") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node"))
 
 
-def next_pairs(held: DataFrame, total: int, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
     """New pairs from the buckets that hold several components: members outside
     the component of the most central member with it and with others that are
     central, other ones each turn; small buckets with all of theirs."""
     rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chance = lambda k: F.pmod(F.xxhash64("node", F.lit(PIVOTS * turn + k)), F.lit(1000)) / 1000 if k else F.lit(1.0)
     pivot = lambda k: F.max(F.struct((F.col("degree") * chance(k)).alias("rank"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root")))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("members"), *[pivot(k).alias(f"of{k}") for k in range(PIVOTS)])
-    split = split.where("low <> high").select("bucket", F.array(*[F.struct(f"of{k}.pivot", f"of{k}.pivot_root") for k in range(PIVOTS)]).alias("of"), "members")
-    open_ = hot_join(rooted, split, ["bucket"], "members", total)
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[pivot(k).alias(f"of{k}") for k in range(PIVOTS)])
+    split = split.where("low <> high").select("bucket", F.array(*[F.struct(f"of{k}.pivot", f"of{k}.pivot_root") for k in range(PIVOTS)]).alias("of"))
+    open_ = rooted.join(split, "bucket")
     outside = open_.where((F.col("root") != F.get("of", F.lit(0))["pivot_root"]) & (F.col("size") > SMALL))
     # a family's buckets mostly agree on their central members: each choice once
     pairs = outside.select("node", "root", "of").distinct().select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
@@ -333,13 +333,13 @@ def next_pairs(held: DataFrame, total: int, roots: DataFrame, tested: DataFrame,
     return untested(pairs.unionByName(few).where("root <> pivot_root"), tested)
 
 
-def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int, small: bool) -> DataFrame:
     """(node, root) after more links; only their ends' components are joined anew."""
     ends = found
     for end in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     above = components(scratch, ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), f"graph-{turn}")
-    above = scratch.write(above.select(F.col("node").alias("root"), F.col("root").alias("top")), f"above-{turn}")
+    above = scratch.write(above.select(F.col("node").alias("root"), F.col("root").alias("top")), f"above-{turn}", small=small)
     known = roots.join(sized(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return known.unionByName(above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti"))
 
@@ -360,18 +360,18 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     words = scratch.write(words.groupBy("node", "words").agg(F.lit(1).alias("one")).drop("one"), "words")
     links = scratch.write(verified(pairs, words, size, least, level), "found-0")
     tested, turn = pairs, 0
-    total = held.count()
-    with interpreted(spark, total <= SMALL_ROWS):
-        roots = scratch.write(components(scratch, links, "graph-0"), "roots-0")
+    small = held.count() <= SMALL_ROWS
+    with interpreted(spark, small):
+        roots = scratch.write(components(scratch, links, "graph-0"), "roots-0", small=small)
         while True:
             turn += 1
-            pairs = scratch.write(next_pairs(held, total, roots, tested, turn), f"pairs-{turn}")
+            pairs = scratch.write(next_pairs(held, roots, tested, turn), f"pairs-{turn}", small=small)
             if pairs.isEmpty():
                 break
             found = scratch.write(verified(pairs, words, size, least, level), f"found-{turn}")
             if found.isEmpty():
                 break
-            roots = scratch.write(merged(scratch, roots, found, turn), f"roots-{turn}")
+            roots = scratch.write(merged(scratch, roots, found, turn, small), f"roots-{turn}", small=small)
             tested = tested.unionByName(pairs)
     scratch.drop("words", "members")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
