@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomstrand-"))
+        own = tempfile.mkdtemp(prefix="loomstrand-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
