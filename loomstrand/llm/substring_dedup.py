@@ -10,7 +10,8 @@ minimiser occurs at two places, so minimisers are counted first and the
 repeated ones marked in a bit table of fixed size; what it lets through by
 chance is merely counted in vain. Very frequent minimisers are ranked behind
 all others, so a common phrase gathers no bucket unless whole windows consist
-of it, and such equal strings are summed before they are shuffled.
+of it; such buckets are parted by a second minimiser, and equal strings are
+summed before they are shuffled.
 
 Defined results: words are runs of other than white space, unchanged; null and
 empty texts have none and are kept as they are; a text shorter than a window
@@ -125,6 +126,9 @@ def cut(window: int, core: int, shared, with_text: bool):
                     late = np.isin(cores, frequent)
                     if late.any():
                         least = sliding_min(np.where(late, cores | _TOP, cores), window - core + 1)
+                        if (hot := least >= _TOP).any():  # nothing but frequent runs: a second minimiser parts the bucket
+                            second = sliding_min(mix(cores, 5), window - core + 1)
+                            least = np.where(hot, mix(least ^ mix(second, 9)) | _TOP, least)
                     begin = _changes(least, valid, text[: len(least)])
                     stop = np.ones(len(least), bool)
                     stop[:-1] = (least[1:] != least[:-1]) | ~valid[1:] | (text[1 : len(least)] != text[: len(least) - 1])
