@@ -50,7 +50,8 @@ def profiles(contigs: DataFrame, k: int = K) -> DataFrame:
 def shares(counts: str | Column = "counts") -> Column:
     """Counts as shares of their sum; all zero where the sum is."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+    # the sum is bound once, else it would be taken again for each count
+    return F.get(F.transform(F.array(total), lambda t: F.transform(counts, lambda x: F.when(t > 0, x / t).otherwise(0.0))), F.lit(0))
 
 
 def reversed_profile(counts: str | Column = "counts", k: int = K) -> Column:

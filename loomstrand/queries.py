@@ -197,10 +197,10 @@ def merge_links(spark, sf_dir):
 
 
 def nearest_median(spark, sf_dir):
-    _, _, own, _ = _selected(spark, sf_dir)
+    scratch, _, own, _ = _selected(spark, sf_dir)
     contigs = P.spread(_contigs(spark, sf_dir))
-    all_ = M.profiles(contigs).select("contig_id", M.shares("counts").alias("p"))
-    return _round(B.nearest_median(_language_bins(own), contigs.select("contig_id"), all_))
+    all_ = scratch.write(M.profiles(contigs).select("contig_id", M.shares("counts").alias("p")), "all-shares")
+    return _round(B.nearest_median(_language_bins(own), all_.select("contig_id"), all_))
 
 
 def _source_bins(spark, sf_dir) -> DataFrame:
