@@ -8,8 +8,9 @@ into as many bins as samples and draw one from each, with empty bins filled
 from others; texts near the border do both, so any two similar texts share a
 scheme. Bands of samples give buckets. Bucket members are compared with the
 bucket's pivot over their whole texts, by weighted Jaccard similarity; then
-buckets that still hold several components go through further pivots until no
-link is found any more.
+buckets that still hold several components go through further pivots while
+those find links, and at last all pairs of different components of a bucket are
+compared, block against block, with a prefix filter that loses none.
 
 Document frequencies are counted over all documents into a table of fixed
 size. Its error is a fixed share of the documents (a text's shingles over the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..scratch import Scratch, interpreted
-from .blocks import Block, Powers, blocks, mix, plain_words
+from .blocks import Block, Powers, blocks, mix, plain_words, ranges
 from .common import fresh, hot_join, sized, text_of
 
 SIZE, LEAST = 5, 0.8
@@ -48,6 +49,8 @@ WIDTH_BITS, PARTS, FAN = 22, 64, 64
 RARE, FLOOR = 1e-3, 0.7
 #: Pivots a turn of a bucket with several components; members of a bucket all of whose pairs are compared at once.
 PIVOTS, SMALL = 3, 8
+#: Members of an open bucket that are compared with as many others in one group.
+BLOCK = 512
 #: Bucket members up to which the loop over them runs interpreted plans.
 SMALL_ROWS = 2_000_000
 #: Comparisons that one pivot's copy serves; a pivot of more is copied again.
@@ -333,6 +336,79 @@ def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int)
     return untested(pairs.unionByName(few).where("root <> pivot_root"), tested)
 
 
+def all_pairs(size: int, least: float, level):
+    """Rows (a, b) of the similar pairs of different components in a group of
+    rows (side, node, root, shared, words): of one side, or else across its two.
+
+    Shingles are put in order from the group's rarest on. What a text has left
+    after its prefix weighs less than ``least`` of it, so similar texts share a
+    shingle of both prefixes. A pair is left to the smallest bucket it shares.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        classes, powers, table = plain_words(), Powers(), level.value
+        bucket, low, high = (k.as_py() for k in key)
+        side, nodes, root = (group[c].to_numpy() for c in ("side", "node", "root"))
+        root, shared, profiles = root.copy(), [set(x) for x in group["shared"].to_pylist()], []
+        for block in blocks(group["words"].combine_chunks(), classes, powers):
+            grams = Grams(block, size)
+            w = weight_of(grams, table)
+            for i in range(block.n):
+                h, own = grams.hashes[grams.bounds[i] : grams.bounds[i + 1]], w[grams.bounds[i] : grams.bounds[i + 1]]
+                order = np.argsort(h)
+                profiles.append((h[order], own[order]))
+        lengths, total = np.array([len(h) for h, _ in profiles]), np.array([w.sum() for _, w in profiles])
+        _, name, often = np.unique(np.concatenate([h for h, _ in profiles]), return_inverse=True, return_counts=True)
+        place = np.empty(len(often), np.int64)
+        place[np.argsort(often, kind="stable")] = np.arange(len(often))
+        text, place = np.repeat(np.arange(len(profiles)), lengths), place[name]
+        order = np.lexsort((place, text))
+        place, w = place[order], np.concatenate([w for _, w in profiles])[order]
+        ends = np.cumsum(lengths)
+        before = np.cumsum(w) - w
+        left = np.append(before, w.sum())[ends][text] - before
+        inside = left >= (least - 1e-6) * total[text]
+        text, place = text[inside], place[inside]
+        of_text = np.searchsorted(text, np.arange(len(profiles) + 1))
+        order = np.argsort(place, kind="stable")
+        holders, starts = text[order], np.searchsorted(place[order], np.arange(len(often) + 1))
+        a, b = [], []
+        for x in np.flatnonzero(side == low).tolist():
+            mine = place[of_text[x] : of_text[x + 1]]
+            y = np.unique(holders[ranges(starts[mine], starts[mine + 1] - starts[mine])])
+            y = y[(y > x) if low == high else (side[y] == high)]
+            y = y[np.minimum(total[y], total[x]) >= (least - 1e-6) * np.maximum(total[y], total[x])]
+            for other in y.tolist():
+                if root[other] != root[x] and min(shared[x] & shared[other]) == bucket and similarity(profiles[x], profiles[other]) >= least:
+                    a.append(nodes[x])
+                    b.append(nodes[other])
+                    root[root == root[other]] = root[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def remaining(held: DataFrame, roots: DataFrame, texts: DataFrame, size: int, least: float, level) -> DataFrame:
+    """Links (a, b) among all pairs of different components of the buckets that
+    still hold several; smaller ones were compared whole by ``next_pairs``.
+
+    A bucket's largest component need not be compared with itself: the blocks
+    of the others come first, numbered 0 to rest, then its own.
+    """
+    rooted = held.where(F.col("size") > SMALL).join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocked = lambda n: F.ceil(n / BLOCK).cast("long")
+    split = split.select("bucket", F.col("main.root").alias("main"), blocked(F.col("main.n")).alias("own"), blocked(F.col("n") - F.col("main.n")).alias("rest"))
+    open_ = rooted.join(split, "bucket")
+    shared = open_.groupBy("node").agg(F.collect_set("bucket").alias("shared"))
+    of_main, part = F.col("root") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    side = F.when(of_main, F.col("rest") + part("own")).otherwise(part("rest"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1)
+    rows = open_.select("bucket", "node", "root", side.alias("side"), F.explode(others).alias("other"))
+    rows = rows.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "root")
+    return rows.join(shared, "node").join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(all_pairs(size, least, level), "a long, b long")
+
+
 def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int, small: bool) -> DataFrame:
     """(node, root) after more links; only their ends' components are joined anew."""
     ends = found
@@ -373,6 +449,9 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
                 break
             roots = scratch.write(merged(scratch, roots, found, turn, small), f"roots-{turn}", small=small)
             tested = tested.unionByName(pairs)
+        found = scratch.write(remaining(held, roots, words, size, least, level), "found-rest")
+        if not found.isEmpty():
+            roots = scratch.write(merged(scratch, roots, found, turn + 1, small), "roots-rest", small=small)
     scratch.drop("words", "members")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("members"))

@@ -269,6 +269,28 @@ def test_near_planted(spark):
     assert got == brute_near([(a, b) for a, b, *_ in rows])
 
 
+def family(rng, n, sections=24, twins=5):
+    """n texts with one of two wordings for each section, resembling each other at about 0.33, and near copies of some."""
+    words = [[" ".join(f"s{i}o{o}w{w}" for w in range(10)) for o in range(2)] for i in range(sections)]
+    picked = [[rng.randrange(2) for _ in range(sections)] for _ in range(n)]
+    for own in [list(x) for x in rng.sample(picked, twins)]:
+        own[rng.randrange(sections)] ^= 1
+        picked.append(own)
+    return [(i, " ".join(words[k][o] for k, o in enumerate(x)), "en", "s", 1) for i, x in enumerate(picked)]
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_near_pairs_within_a_family(spark, monkeypatch, block):
+    # one bucket holds all texts, so most near copies are never a pivot
+    monkeypatch.setattr(near_dedup, "banded", lambda samples, *_: np.ones((len(samples), 1), np.uint64))
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    rows = family(random.Random(5), 200)
+    want = brute_near([(a, b) for a, b, *_ in rows])
+    assert len(rows) - len(set(want.values())) >= 5
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.report(spark, docs_of(spark, rows)).collect()}
+    assert got == want
+
+
 def test_near_odd(spark):
     got = rows_of(near_dedup.report(spark, odd(spark)))
     assert len(got) == len(ODD)
