@@ -3,10 +3,9 @@
 A text is the multiset of its runs of ``size`` words (letters, digits and all
 beyond ASCII, lower-cased). A shingle weighs its count times its damped IDF.
 Samples are drawn by improved consistent weighted sampling (Ioffe, 2010): short
-texts evaluate every sample over every shingle, longer ones split the shingles
-into as many bins as samples and draw one from each, with empty bins filled
-from others; texts near the border do both, so any two similar texts share a
-scheme. Bands of samples give buckets. Bucket members are compared with the
+texts evaluate every sample over every shingle, for longer ones darts are
+thrown at the shingles' weights (Christiani, 2020), which draws from the same
+weighted set; texts near the border do both. Bands of samples give buckets. Bucket members are compared with the
 bucket's pivot over their whole texts, by weighted Jaccard similarity; then
 buckets that still hold several components go through further pivots while
 those find links, and at last all pairs of different components of a bucket are
@@ -41,7 +40,7 @@ SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Texts of up to SHORT distinct shingles draw all samples over all of them;
-#: from LONG on bins are used. SHORT * LEAST > LONG, so similar texts share one.
+#: from LONG on darts are thrown. SHORT * LEAST > LONG, so similar texts share one.
 SHORT, LONG = 128, 100
 #: Width of the frequency table, its parts, and how many tables are summed at once.
 WIDTH_BITS, PARTS, FAN = 22, 64, 64
@@ -155,8 +154,6 @@ def _least_at(values: np.ndarray, names: np.ndarray, starts: np.ndarray) -> np.n
 
 
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-#: Bin that an empty bin looks into at each turn.
-_DONORS = (mix(np.arange(SAMPLES * SAMPLES, dtype=np.uint64) + np.uint64(99)) % np.uint64(SAMPLES)).astype(np.int64).reshape(SAMPLES, SAMPLES)
 
 
 def short_samples(grams: Grams, logs: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -172,27 +169,46 @@ def short_samples(grams: Grams, logs: np.ndarray, texts: np.ndarray) -> np.ndarr
     return out
 
 
-def binned_samples(grams: Grams, logs: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Samples of the texts, one from each bin of shingles; empty bins borrow."""
-    wanted = np.zeros(len(grams.bounds) - 1, bool)
-    wanted[texts] = True
-    at = np.flatnonzero(wanted[grams.text])
-    row = (np.cumsum(wanted) - 1)[grams.text[at]]
-    cell = row * SAMPLES + (grams.hashes[at] >> np.uint64(58)).astype(np.int64)
-    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-    values, names = _drawn(grams.hashes[at], logs[at], np.uint64(0))
-    out, full = np.zeros(len(texts) * SAMPLES, np.uint64), np.zeros(len(texts) * SAMPLES, bool)
-    out[cell[starts]], full[cell[starts]] = _least_at(values, names, starts), True
-    out, full = out.reshape(-1, SAMPLES), full.reshape(-1, SAMPLES)
-    filled, have = out.copy(), full.copy()
-    for turn in range(SAMPLES):
-        if have.all():
-            break
-        donors = _DONORS[turn]
-        take = ~have & full[:, donors]
-        filled = np.where(take, mix(out[:, donors], turn + 1), filled)
-        have |= take
-    return filled
+def thrown_samples(grams: Grams, weight: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Samples of the texts, all drawn over all shingles of the text by weight.
+
+    Darts hit the plane of each shingle's weight and a rank evenly, the same
+    for a shingle in every text, and fall into one of SAMPLES bins; those beyond
+    the shingle's weight miss. A bin's sample is its dart of the lowest rank, so
+    two texts agree in a bin with their weighted Jaccard similarity as chance.
+    Ranks go up to a text's own limit, which is doubled until no bin is empty.
+    """
+    out = np.zeros((len(texts), SAMPLES), np.uint64)
+    pending, throws = np.arange(len(texts)), SAMPLES * (np.log(SAMPLES) + 4)
+    while len(pending):
+        low, lengths = grams.bounds[texts[pending]], np.diff(grams.bounds)[texts[pending]]
+        at, row = ranges(low, lengths), np.repeat(np.arange(len(pending)), lengths)
+        limit = throws / np.bincount(row, weight[at], len(pending))
+        # layers of weight from 0 to 1, 1 to 2, 2 to 4, ...
+        layers = 1 + np.maximum(0, np.frexp(weight[at])[1]).astype(np.int64)
+        layer = ranges(np.zeros(len(at), np.int64), layers)
+        at, row = np.repeat(at, layers), np.repeat(row, layers)
+        key = mix(grams.hashes[at] ^ mix(layer.astype(np.uint64) + np.uint64(1), 5))
+        floor, width = np.where(layer, 2.0 ** (layer - 1), 0), np.where(layer, 2.0 ** (layer - 1), 1)
+        top, rank, turn, hits = weight[at], np.zeros(len(at)), 0, []
+        while len(key):
+            turn += 1
+            rank = rank - np.log(((mix(key, 2 * turn) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
+            live = rank <= limit[row]
+            key, rank, row, floor, width, top = (x[live] for x in (key, rank, row, floor, width, top))
+            dart = mix(key, 2 * turn + 1)
+            hit = floor + (dart & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width < top
+            hits.append((row[hit] * SAMPLES + (dart[hit] >> np.uint64(32)).astype(np.int64) % SAMPLES, rank[hit], mix(dart[hit], 3)))
+        cell, rank, name = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((rank, cell))
+        cell, name = cell[order], name[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        found, full = np.zeros(len(pending) * SAMPLES, np.uint64), np.zeros(len(pending) * SAMPLES, bool)
+        found[cell[first]], full[cell[first]] = name[first], True
+        done = full.reshape(-1, SAMPLES).all(1)
+        out[pending[done]] = found.reshape(-1, SAMPLES)[done]
+        pending, throws = pending[~done], 2 * throws
+    return out
 
 
 def banded(samples: np.ndarray, scheme: int) -> np.ndarray:
@@ -212,13 +228,14 @@ def signed(size: int, level):
         for batch in batches:
             for block in blocks(batch.column(1), classes, powers):
                 grams = Grams(block, size)
-                logs = np.log(weight_of(grams, table))
+                weight = weight_of(grams, table)
+                logs = np.log(weight)
                 joined, at = folded(block)
                 n = np.diff(grams.bounds)
                 buckets: list = [[] for _ in range(block.n)]
-                for scheme, draw, texts in ((1, short_samples, np.flatnonzero((n > 0) & (n <= SHORT))), (2, binned_samples, np.flatnonzero(n >= LONG))):
+                for scheme, draw, of, texts in ((1, short_samples, logs, np.flatnonzero((n > 0) & (n <= SHORT))), (2, thrown_samples, weight, np.flatnonzero(n >= LONG))):
                     if len(texts):
-                        for i, found in zip(texts.tolist(), banded(draw(grams, logs, texts), scheme).view(np.int64).tolist(), strict=True):
+                        for i, found in zip(texts.tolist(), banded(draw(grams, of, texts), scheme).view(np.int64).tolist(), strict=True):
                             buckets[i] = buckets[i] + found
                 keys = [hashlib.blake2b(joined[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(block.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "buckets"])

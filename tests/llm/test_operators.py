@@ -291,6 +291,17 @@ def test_near_pairs_within_a_family(spark, monkeypatch, block):
     assert got == want
 
 
+def test_near_repeated_lines(spark):
+    """A few shingles hold most of the weight of long texts."""
+    rows = []
+    for k in range(20):
+        line = " ".join(f"l{k}w{i}" for i in range(12)) + "\n"
+        rows += [(2 * k + c, line * 100 + " ".join(f"k{k}c{c}x{i}" for i in range(120)), "en", "s", 1) for c in range(2)]
+    want = brute_near([(a, b) for a, b, *_ in rows])
+    assert want == {i: i - i % 2 for i in range(40)}
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.report(spark, docs_of(spark, rows)).collect()} == want
+
+
 def test_near_odd(spark):
     got = rows_of(near_dedup.report(spark, odd(spark)))
     assert len(got) == len(ODD)
