@@ -2,10 +2,8 @@
 
 A text is the multiset of its runs of ``size`` words (letters, digits and all
 beyond ASCII, lower-cased). A shingle weighs its count times its damped IDF.
-Samples are drawn by improved consistent weighted sampling (Ioffe, 2010): short
-texts evaluate every sample over every shingle, for longer ones darts are
-thrown at the shingles' weights (Christiani, 2020), which draws from the same
-weighted set; texts near the border do both. Bands of samples give buckets. Bucket members are compared with the
+Samples are drawn by throwing darts at the shingles' weights (Christiani, 2020),
+in one way for texts of every length. Bands of samples give buckets. Bucket members are compared with the
 bucket's pivot over their whole texts, by weighted Jaccard similarity; then
 buckets that still hold several components go through further pivots while
 those find links, and at last all pairs of different components of a bucket are
@@ -39,9 +37,6 @@ from .common import fresh, hot_join, sized, text_of
 SIZE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Texts of up to SHORT distinct shingles draw all samples over all of them;
-#: from LONG on darts are thrown. SHORT * LEAST > LONG, so similar texts share one.
-SHORT, LONG = 128, 100
 #: Width of the frequency table, its parts, and how many tables are summed at once.
 WIDTH_BITS, PARTS, FAN = 22, 64, 64
 #: A shingle in less than this share of documents has the full weight 1, one in all has FLOOR.
@@ -134,41 +129,6 @@ def weight_of(grams: Grams, level: np.ndarray) -> np.ndarray:
     return grams.counts * (FLOOR + (1 - FLOOR) * idf)
 
 
-def _drawn(hashes: np.ndarray, log_weights: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash and seed: the value that is to be smallest, and the sample's identity."""
-    half, unit = np.uint64(32), 2.0**-32
-    parts = []
-    for k in (1, 2, 3):
-        h = mix(hashes ^ seeds, (k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-        parts += [((h >> half).astype(np.float64) + 0.5) * unit, ((h & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * unit]
-    r, c, beta = -np.log(parts[0] * parts[1]), -np.log(parts[2] * parts[3]), parts[4]
-    t = np.floor(log_weights / r + beta)
-    return np.log(c) - r * (t - beta) - r, mix(hashes ^ seeds, 77) + mix(t.astype(np.int64).view(np.uint64))
-
-
-def _least_at(values: np.ndarray, names: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Name of the smallest value in each run along the first axis."""
-    least = np.minimum.reduceat(values, starts, axis=0)
-    runs = np.diff(np.append(starts, len(values)))
-    return np.maximum.reduceat(np.where(values == np.repeat(least, runs, axis=0), names, np.uint64(0)), starts, axis=0)
-
-
-_SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-def short_samples(grams: Grams, logs: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Samples of the texts, each drawn over all shingles of the text."""
-    out = np.zeros((len(texts), SAMPLES), np.uint64)
-    for low in range(0, len(texts), 16):
-        some = texts[low : low + 16]
-        lengths = grams.bounds[some + 1] - grams.bounds[some]
-        at = np.concatenate([np.arange(grams.bounds[i], grams.bounds[i + 1]) for i in some])
-        starts = np.cumsum(lengths) - lengths
-        values, names = _drawn(grams.hashes[at][:, None], logs[at][:, None], _SEEDS[None, :])
-        out[low : low + 16] = _least_at(values, names, starts)
-    return out
-
-
 def thrown_samples(grams: Grams, weight: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Samples of the texts, all drawn over all shingles of the text by weight.
 
@@ -211,10 +171,10 @@ def thrown_samples(grams: Grams, weight: np.ndarray, texts: np.ndarray) -> np.nd
     return out
 
 
-def banded(samples: np.ndarray, scheme: int) -> np.ndarray:
-    """Bucket of each band, told apart by band and scheme."""
+def banded(samples: np.ndarray) -> np.ndarray:
+    """Bucket of each band, told apart by band."""
     parts = samples.reshape(len(samples), BANDS, ROWS)
-    out = np.broadcast_to((np.arange(BANDS) + 1 + scheme * 1000).astype(np.uint64), parts.shape[:2])
+    out = np.broadcast_to((np.arange(BANDS) + 1).astype(np.uint64), parts.shape[:2])
     for k in range(ROWS):
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, k])
     return out
@@ -228,15 +188,14 @@ def signed(size: int, level):
         for batch in batches:
             for block in blocks(batch.column(1), classes, powers):
                 grams = Grams(block, size)
-                weight = weight_of(grams, table)
-                logs = np.log(weight)
                 joined, at = folded(block)
                 n = np.diff(grams.bounds)
                 buckets: list = [[] for _ in range(block.n)]
-                for scheme, draw, of, texts in ((1, short_samples, logs, np.flatnonzero((n > 0) & (n <= SHORT))), (2, thrown_samples, weight, np.flatnonzero(n >= LONG))):
-                    if len(texts):
-                        for i, found in zip(texts.tolist(), banded(draw(grams, of, texts), scheme).view(np.int64).tolist(), strict=True):
-                            buckets[i] = buckets[i] + found
+                texts = np.flatnonzero(n)
+                if len(texts):
+                    found = banded(thrown_samples(grams, weight_of(grams, table), texts)).view(np.int64).tolist()
+                    for i, own in zip(texts.tolist(), found, strict=True):
+                        buckets[i] = own
                 keys = [hashlib.blake2b(joined[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(block.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "buckets"])
 

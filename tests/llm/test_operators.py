@@ -302,6 +302,20 @@ def test_near_repeated_lines(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.report(spark, docs_of(spark, rows)).collect()} == want
 
 
+def test_near_lengths_apart(spark):
+    """95 distinct shingles against the same with 35 more; lines repeated in both hold the shared weight."""
+    rows = []
+    for k in range(20):
+        text = f"a{k} b{k} c{k} d{k} e{k} " * 60 + " ".join(f"k{k}x{i}" for i in range(90))
+        rows += [(2 * k, text, "en", "s", 1), (2 * k + 1, text + " " + " ".join(f"n{k}y{i}" for i in range(35)), "en", "s", 1)]
+    for low, high, (_, text, *_) in ((0, 99, rows[0]), (129, 140, rows[1])):
+        words = text.split()
+        assert low <= len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) <= high
+    want = brute_near([(a, b) for a, b, *_ in rows])
+    assert want == {i: i - i % 2 for i in range(40)}
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.report(spark, docs_of(spark, rows)).collect()} == want
+
+
 def test_near_odd(spark):
     got = rows_of(near_dedup.report(spark, odd(spark)))
     assert len(got) == len(ODD)
