@@ -4,8 +4,8 @@ A state is a context of up to DEPTH known bases, the last one first, that more
 than ``support`` known bases follow; the root is the empty context. Support
 never grows with length, so states are found level by level: tasks count the
 extensions of the states so far over their own contigs, one shuffle sums the
-counts, and what passes extends the trie. The trie of all clusters together is
-bounded by MAX_STATES, so it can be sent to every task.
+counts, and what passes extends the trie. No supported state is dropped; the
+tries of all clusters together are sent to every task.
 
 A base weighs by the longest state that its context has. One special case is
 kept by default: after a base that is no state itself, the walk stands still
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.sequences import BASES, FLOOR
 from ..scratch import Scratch
 
-#: Bases of the longest context; bases that must follow a state, more than; states of all models together.
-DEPTH, SUPPORT, MAX_STATES = 40, 50, 2_000_000
+#: Bases of the longest context; bases that must follow a state, more than.
+DEPTH, SUPPORT = 40, 50
 #: Levels counted in one pass, by the level reached: few while most places still extend, many once few do.
 PASSES = ((0, 4), (4, 2), (8, 8))
 
@@ -166,7 +166,7 @@ def _extensions(shared, have: int, more: int):
     return run
 
 
-def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, depth: int = DEPTH, floor: float = FLOOR, max_states: int = MAX_STATES) -> Models:
+def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, depth: int = DEPTH, floor: float = FLOOR) -> Models:
     """Models of the clusters of members (contig_id, seq, reverse, cluster), smoothed."""
     clusters = sorted(r["cluster"] for r in members.select("cluster").distinct().collect())
     models, have = Models.rooted(clusters), 0
@@ -176,10 +176,8 @@ def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, dep
         sums = members.select("seq", "reverse", "cluster").mapInArrow(_extensions(shared, have, more), "node long, code long, size long, base long, n long")
         n = [F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(f"n{b}") for b in range(4)]
         rows = sums.groupBy("node", "code", "size").agg(*n).where((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") > support) | (F.col("size") == 0))
-        rows = rows.limit(max_states + 1).toArrow()
+        rows = rows.toArrow()
         shared.unpersist()
-        if len(rows) > max_states:  # no room for this pass: the tries stay as they are
-            break
         table = {c: rows[c].to_numpy() for c in rows.column_names}
         found = {(int(a), 0, 0): int(a) for a in np.unique(table["node"])} if len(rows) else {}
         grown = 0
@@ -190,7 +188,7 @@ def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, dep
                 if not have:
                     models.counts[table["node"][of]] = counts
                 continue
-            if not len(of) or len(models.parent) + len(of) > max_states:
+            if not len(of):
                 break
             order = np.lexsort((table["code"][of], table["node"][of]))
             of, counts = of[order], counts[order]

@@ -179,6 +179,14 @@ def test_context_scores(spark):
             assert x["score"] == pytest.approx(walked(train[x["cluster"]], by_name[x["contig_id"]], 20, depth), abs=1e-6), (depth, x)
 
 
+def test_no_supported_state_is_dropped(spark):
+    """Far more than two million states, all of them kept."""
+    seq = "".join(random.Random(3).choices("ACGT", k=300_000))
+    models = X.trained(spark, spark.createDataFrame([("a", seq, False, 1)], "contig_id string, seq string, reverse boolean, cluster int"), 0, 16)
+    for level in (8, 9, 16):
+        assert (models.level == level).sum() == len({seq[i - level : i] for i in range(level, len(seq))})
+
+
 def test_reverse_members_train_reversed(spark):
     a = spark.createDataFrame([("a", "AACCGGT" * 30, False, 1)], "contig_id string, seq string, reverse boolean, cluster int")
     b = spark.createDataFrame([("a", "ACCGGTT" * 30, True, 1)], "contig_id string, seq string, reverse boolean, cluster int")
