@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -248,18 +249,18 @@ def _state(spark, sf_dir) -> DataFrame:
     return contigs.join(_language_bins(contigs), "contig_id").select("contig_id", "seq", "len", F.col("bin").alias("cluster"), F.lit(False).alias("reverse"), F.lit(True).alias("active"))
 
 
-def _models(spark, sf_dir):
+def _models(spark, sf_dir, depth):
     state = Scratch(spark, "state").write(_state(spark, sf_dir), "state")
-    return state, X.trained(spark, state.select("contig_id", "seq", "reverse", "cluster"), SUPPORT, DEPTH)
+    return state, X.trained(spark, state.select("contig_id", "seq", "reverse", "cluster"), SUPPORT, depth)
 
 
-def _found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    state, models = _models(spark, sf_dir)
+def _found(spark, sf_dir, depth) -> tuple[DataFrame, DataFrame]:
+    state, models = _models(spark, sf_dir, depth)
     return state, Scratch(spark, "found").write(X.scores(spark, state, models), "found")
 
 
-def context_states(spark, sf_dir):
-    _, models = _models(spark, sf_dir)
+def context_states(spark, sf_dir, depth=DEPTH):
+    _, models = _models(spark, sf_dir, depth)
     return _round(X.states(spark, models))
 
 
@@ -269,8 +270,8 @@ def full_context_states(spark, sf_dir):
     return X.states(spark, models).groupBy("cluster", "level").agg(F.count("*").alias("n_states"), F.sum(F.expr("n_a + n_c + n_g + n_t")).alias("support"))
 
 
-def context_scores(spark, sf_dir):
-    return _round(_found(spark, sf_dir)[1].select("contig_id", "cluster", "score", "squares"), 4)
+def context_scores(spark, sf_dir, depth=DEPTH):
+    return _round(_found(spark, sf_dir, depth)[1].select("contig_id", "cluster", "score", "squares"), 4)
 
 
 def look_behind(spark, sf_dir):
@@ -278,52 +279,52 @@ def look_behind(spark, sf_dir):
     return rows.groupBy("context", "base").agg(F.count("*").alias("n"))
 
 
-def score_per_base(spark, sf_dir):
-    return _round(C.per_base(*_found(spark, sf_dir)), 4)
+def score_per_base(spark, sf_dir, depth=DEPTH):
+    return _round(C.per_base(*_found(spark, sf_dir, depth)), 4)
 
 
-def cluster_weakness(spark, sf_dir):
-    return _round(C.weakness(*_found(spark, sf_dir)), 4)
+def cluster_weakness(spark, sf_dir, depth=DEPTH):
+    return _round(C.weakness(*_found(spark, sf_dir, depth)), 4)
 
 
-def reassignment(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def reassignment(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return C.reassigned(state, found).select("contig_id", "cluster")
 
 
-def reassignment_counts(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def reassignment_counts(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return C.movement(state, C.reassigned(state, found), found)
 
 
-def score_totals(spark, sf_dir):
-    return _round(C.score_totals(_found(spark, sf_dir)[1]), 2)
+def score_totals(spark, sf_dir, depth=DEPTH):
+    return _round(C.score_totals(_found(spark, sf_dir, depth)[1]), 2)
 
 
-def log_likelihood(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def log_likelihood(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return _round(spark.createDataFrame([(C.log_likelihood(state, found),)], "log_likelihood double"), 4)
 
 
-def cull_candidate(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def cull_candidate(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     n = state.agg(F.max("cluster").alias("n")).first()["n"] or 0
     worst, score = C.replaceable(state, found, n)
     return _round(spark.createDataFrame([(worst, score)], "cluster int, score double"), 2)
 
 
-def score_histogram(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def score_histogram(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return G.score_histogram(state, found, C.per_base(state, found))
 
 
-def score_outliers(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def score_outliers(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return G.outliers(state, found, C.per_base(state, found)).select("contig_id", "cluster")
 
 
-def fixed_lines(spark, sf_dir):
-    state, found = _found(spark, sf_dir)
+def fixed_lines(spark, sf_dir, depth=DEPTH):
+    state, found = _found(spark, sf_dir, depth)
     return sinks.fixed_lines(state.join(found.select("contig_id", "cluster", "score"), ["contig_id", "cluster"]))
 
 
@@ -446,3 +447,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_stream, best_identity, best_hit, last_match, taxon_classes, match_grade, best_bin, bin_details, organism_pairs, compared_runs,
     )
 }
+#: The queries above whose SQL counts to DEPTH, at the operator's own depth; these have no SQL.
+FULL = (
+    context_states, context_scores, score_per_base, cluster_weakness, reassignment, reassignment_counts, score_totals, log_likelihood, cull_candidate, score_histogram, score_outliers, fixed_lines,
+)
+QUERIES |= {("full_models" if f is context_states else f"full_{f.__name__}"): partial(f, depth=X.DEPTH) for f in FULL}

@@ -12,6 +12,7 @@ from loomstrand.operators import contexts as X
 from loomstrand.operators import grading as G
 from loomstrand.operators.distances import chi_squared
 from loomstrand.operators.graph import components, leaders
+from loomstrand import queries as Q
 from loomstrand.plans import binnings as P
 from loomstrand.scratch import Scratch
 
@@ -179,6 +180,23 @@ def test_context_scores(spark):
             assert x["score"] == pytest.approx(walked(train[x["cluster"]], by_name[x["contig_id"]], 20, depth), abs=1e-6), (depth, x)
 
 
+def test_full_queries_use_the_whole_depth(spark, tmp_path):
+    """Against brute force at depth 40, on few documents with contexts beyond that; the others follow from the scores."""
+    r = random.Random(4)
+    unit = "".join(r.choices("acgt", k=60))
+    docs = [(i, unit * 5 + "".join(r.choices("acgt", k=40)), lang, "s") for i, lang in enumerate(["en"] * 14 + ["fr"] * 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    contigs = {x["contig_id"]: x["seq"] for x in Q._contigs(spark, str(tmp_path)).collect()}
+    train = {k: [s for n, s in contigs.items() if n.startswith(lang)] for k, lang in ((1, "en"), (2, "fr"))}
+    found = {(x["contig_id"], x["cluster"]): x["score"] for x in Q.QUERIES["full_context_scores"](spark, str(tmp_path)).collect()}
+    assert len(found) == 32
+    for name, cluster in (("en_0", 1), ("en_3", 2), ("fr_15", 1), ("fr_15", 2)):
+        assert found[name, cluster] == pytest.approx(walked(train[cluster], contigs[name], 50, 40), abs=1e-3)
+    assert Q.QUERIES["full_models"](spark, str(tmp_path)).agg({"level": "max"}).first()[0] == 40
+    for f in Q.FULL[2:]:
+        Q.QUERIES[f"full_{f.__name__}"](spark, str(tmp_path)).collect()
+
+
 def test_no_supported_state_is_dropped(spark):
     """Far more than two million states, all of them kept."""
     seq = "".join(random.Random(3).choices("ACGT", k=300_000))
