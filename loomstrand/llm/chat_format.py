@@ -137,18 +137,24 @@ def turns_of_frame(df: DataFrame) -> Column:
     return _mapped(name, lambda p: F.col(p).cast("string"), lambda p, r, t: F.transform(p, lambda m: F.struct(m[r].cast("string").alias("role"), m[t].cast("string").alias("text"))))
 
 
+def _holds(leaf: str):
+    return lambda m: F.try_variant_get(m, f"$.{leaf}", "variant").isNotNull()
+
+
 def _json_paths(variant: Column) -> Column:
     """Sorted field paths of a JSON record over the known fields, one a line."""
     paths = []
     for name in sorted(p for layout in LAYOUTS for p in paths_of_layout(layout)):
         head, _, leaf = name.partition("[].")
         if leaf:
-            here = F.try_variant_get(variant, f"$.{head}[0].{leaf}", "variant")
+            # of all elements: a list of mixed layouts has the fingerprint of none
+            items = F.try_variant_get(variant, f"$.{head}", "array<variant>")
+            found = F.exists(items, _holds(leaf))
         else:
             here = F.try_variant_get(variant, f"$.{head}", "variant")
             # a list or an object there is another layout
-            here = F.when(~F.schema_of_variant(here).rlike("^(ARRAY|OBJECT)"), here)
-        paths.append(F.when(here.isNotNull(), F.lit(name)))
+            found = F.when(~F.schema_of_variant(here).rlike("^(ARRAY|OBJECT)"), here).isNotNull()
+        paths.append(F.when(found, F.lit(name)))
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*paths)))), "\n")
 
 

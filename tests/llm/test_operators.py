@@ -407,6 +407,18 @@ def test_layouts(spark):
     assert got[10] is None and got[11] is None and got[12] is None
 
 
+def test_mixed_json_layouts(spark):
+    """All elements of a list tell its layout, not the first alone."""
+    records = [
+        '{"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}',
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "text": "b"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "i int, record string")
+    got = {r["i"]: r["t"] for r in df.select("i", chat_format.turns_of_json(F.col("record")).alias("t")).collect()}
+    assert [tuple(x) for x in got[0]] == [("user", ""), ("assistant", "b")]
+    assert got[1] is None or got[1][1][1] == "b"
+
+
 def test_frame_layouts(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id int, prompt string, completion string")
     assert chat_format.layout_of(df.schema) == "prompt_completion"
