@@ -39,6 +39,7 @@ class Rule:
     group: int
     least: int
     flags: int = re.ASCII
+    scheme: bool = False  # the finding begins with the URL scheme before the match
 
 
 #: The rules of the contract, in the order in which kinds are listed.
@@ -53,20 +54,33 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 36),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,128}@", 0, 12),
+    Rule("url_password", r"://[^\s/:@]+:[^\s/:@]+@", 0, 12, scheme=True),
 )
 RULES = BASE + MORE
-RULE_VERSION = 1
+RULE_VERSION = 3
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 _SPANS = "array<struct<kind:string,first:int,last:int>>"
 
 
+def scheme_start(text: str, end: int) -> int:
+    """Where the URL scheme of two characters and more that ends at ``end`` starts, -1 without one."""
+    first, at = -1, end - 1
+    while at >= 0 and text[at] in _SCHEME:
+        if "a" <= text[at] <= "z":
+            first = at
+        at -= 1
+    return first if first < end - 1 else -1
+
+
 def spans(text: str, rules: tuple[Rule, ...], compiled: list[re.Pattern] | None = None) -> list[tuple[int, int, int]]:
     """(first, kind's number, last) of all findings, in order."""
     out = []
     for k, (rule, pattern) in enumerate(zip(rules, compiled or [re.compile(r.pattern, r.flags) for r in rules], strict=True)):
         for m in pattern.finditer(text):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                out.append((m.start(), k, m.end()))
+            first = scheme_start(text, m.start()) if rule.scheme else m.start()
+            least_from = m.start(rule.group) if rule.group else first
+            if first >= 0 and m.end(rule.group) - least_from >= rule.least:
+                out.append((first, k, m.end()))
     return sorted(out)
 
 

@@ -597,6 +597,14 @@ def test_secrets_same_as_brute_force(spark, small):
         assert row["base_sha256"] == hashlib.sha256(brute_spans(texts[row["doc_id"]]).encode()).hexdigest()
 
 
+def test_url_passwords_of_any_length():
+    kinds = [r.kind for r in secret_scan.RULES]
+    for scheme, user, word in (("https", "me", "pw"), ("x" * 40, "u" * 100, "p" * 2000), ("git+ssh", "u", "p" * 129)):
+        url = f"{scheme}://{user}:{word}@"
+        found = [x for x in secret_scan.spans(f"see 9{url}host a://u:longpassword@h", secret_scan.RULES) if kinds[x[1]] == "url_password"]
+        assert found == [(5, kinds.index("url_password"), 5 + len(url))]
+
+
 def test_ledger_scans_only_unseen(spark, tmp_path):
     first = docs_of(spark, [(1, SECRETS[0], "en", "s", 1), (2, SECRETS[0], "en", "s", 1), (3, "clean", "en", "s", 1)])
     ledger = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
