@@ -124,10 +124,11 @@ def best_bin(grades: DataFrame) -> DataFrame:
     return grades.agg(F.max_by("bin", F.struct("over", -F.col("bin"))).alias("best_bin"))
 
 
-def bin_details(bin_: DataFrame, matches: DataFrame, hits: DataFrame) -> DataFrame:
-    """(contig_id, pct, match_len, hit, bitscore, place) of one bin's contigs, best first, nulls last."""
-    rows = bin_.select("contig_id").join(last_match(matches).withColumnRenamed("query", "contig_id"), "contig_id", "left").join(best_hit(hits).withColumnRenamed("query", "contig_id"), "contig_id", "left")
-    order = Window.orderBy(F.desc_nulls_last("pct"), F.desc_nulls_last("match_len"), F.desc_nulls_last("bitscore"), "contig_id")
+def bin_details(bins: DataFrame, matches: DataFrame, hits: DataFrame, each: bool = False) -> DataFrame:
+    """(contig_id, pct, match_len, hit, bitscore, place) of one bin's contigs, best first, nulls last; ``each``: of every bin, with bin, placed within it."""
+    by = ["bin"] if each else []
+    rows = bins.select("contig_id", *by).join(last_match(matches).withColumnRenamed("query", "contig_id"), "contig_id", "left").join(best_hit(hits).withColumnRenamed("query", "contig_id"), "contig_id", "left")
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("pct"), F.desc_nulls_last("match_len"), F.desc_nulls_last("bitscore"), "contig_id")
     return rows.withColumn("place", F.row_number().over(order))
 
 

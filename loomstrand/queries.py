@@ -424,6 +424,10 @@ def bin_details(spark, sf_dir):
     return G.bin_details(bins.where("bin = 1"), _matches(spark, sf_dir), _hits(spark, sf_dir))
 
 
+def every_bin_details(spark, sf_dir):
+    return G.bin_details(_part_bins(spark, sf_dir), _matches(spark, sf_dir), _hits(spark, sf_dir), each=True)
+
+
 def organism_pairs(spark, sf_dir):
     return fasta.organism_pairs(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("org")))
 
@@ -444,7 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         share_below_cross, created_bins, nearest_bins, bin_medians, merge_links, nearest_median, reduced_bins, distance_binning, distance_grade, organism_experiments, chi_squared_pairs,
         seed_clusters, seed_directions, context_states, full_context_states, context_scores, look_behind, score_per_base, cluster_weakness, reassignment, reassignment_counts, score_totals,
         log_likelihood, cull_candidate, score_histogram, score_outliers, fixed_lines, model_binning, refined_binning, dumped_bins, bin_purity, bin_labels, bin_grade, top_bins, all_pure,
-        token_stream, best_identity, best_hit, last_match, taxon_classes, match_grade, best_bin, bin_details, organism_pairs, compared_runs,
+        token_stream, best_identity, best_hit, last_match, taxon_classes, match_grade, best_bin, bin_details, every_bin_details, organism_pairs, compared_runs,
     )
 }
 #: The queries above whose SQL counts to DEPTH, at the operator's own depth; these have no SQL.

@@ -243,6 +243,16 @@ def test_grades(spark):
     assert G.grade(none, un).first()["accuracy"] == 0.0
 
 
+def test_details_of_every_bin(spark, small):
+    rows = Q.QUERIES["every_bin_details"](spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/part.parquet").count()
+    one = {tuple(x) for x in Q.QUERIES["bin_details"](spark, small).collect()}
+    assert one == {(x["contig_id"], x["pct"], x["match_len"], x["hit"], x["bitscore"], x["place"]) for x in rows if x["bin"] == 1}
+    for k in range(1, 8):
+        own = [x["place"] for x in rows if x["bin"] == k]
+        assert sorted(own) == list(range(1, len(own) + 1)) and own
+
+
 def test_empty_binning(spark):
     empty = spark.createDataFrame([], "contig_id string, seq string, len int")
     bins, un = P.by_distance(spark, empty)
