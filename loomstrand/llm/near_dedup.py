@@ -2,16 +2,21 @@
 
 A text is the multiset of its runs of ``size`` words (letters, digits and all
 beyond ASCII, lower-cased). A shingle weighs its count times its damped IDF.
-Samples are drawn by throwing darts at the shingles' weights (Christiani, 2020),
-in one way for texts of every length. Bands of samples give buckets. Bucket members are compared with the
-bucket's pivot over their whole texts, by weighted Jaccard similarity; then
-buckets that still hold several components go through further pivots while
-those find links, and at last all pairs of different components of a bucket are
-compared, block against block, with a prefix filter that loses none.
+Samples are drawn by improved consistent weighted sampling (Ioffe, 2010) over
+all shingles of a text, whatever its length. Bands of samples give buckets, of
+which those with equal members count once. Bucket members are compared with
+the bucket's most central member over their whole texts, by weighted Jaccard
+similarity. In buckets that still hold several components, all pairs of
+different components are compared: small buckets pair by pair, larger ones
+block against block with a prefix filter that loses none. So every pair that
+shares a bucket is compared or already linked.
 
 Document frequencies are counted over all documents into a table of fixed
-size. Its error is a fixed share of the documents (a text's shingles over the
-table's width) at any scale, below the share from which IDF falls at all.
+size. Its error is a fixed share of the documents (a text's mean number of
+shingles over the table's width) at any scale. From a mean of some 4,000 on it
+exceeds the share at which IDF begins to fall; then all weights fall alike
+towards FLOOR, for sampling and verification both, and similarity comes closer
+to that of plain counts.
 
 Defined results: copies of one word sequence are one class; null texts and
 texts without words are classes of their own, each; a text of fewer than
@@ -23,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..scratch import Scratch, interpreted
+from ..scratch import Scratch
 from .blocks import Block, Powers, blocks, mix, plain_words, ranges
 from .common import fresh, hot_join, sized, text_of
 
@@ -41,12 +47,12 @@ SAMPLES = BANDS * ROWS
 WIDTH_BITS, PARTS, FAN = 22, 64, 64
 #: A shingle in less than this share of documents has the full weight 1, one in all has FLOOR.
 RARE, FLOOR = 1e-3, 0.7
-#: Pivots a turn of a bucket with several components; members of a bucket all of whose pairs are compared at once.
-PIVOTS, SMALL = 3, 8
-#: Members of an open bucket that are compared with as many others in one group.
-BLOCK = 512
-#: Bucket members up to which the loop over them runs interpreted plans.
-SMALL_ROWS = 2_000_000
+#: Shingles whose samples are drawn at a time.
+DRAWN = 1024
+#: Members of a bucket whose pairs are made one by one, at most.
+SMALL = 8
+#: Members of an open bucket that are compared with as many others in one group, and bytes of their words, about.
+BLOCK, BLOCK_TEXTS = 512, 4 << 20
 #: Comparisons that one pivot's copy serves; a pivot of more is copied again.
 SERVES = 500
 
@@ -129,46 +135,45 @@ def weight_of(grams: Grams, level: np.ndarray) -> np.ndarray:
     return grams.counts * (FLOOR + (1 - FLOOR) * idf)
 
 
-def thrown_samples(grams: Grams, weight: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Samples of the texts, all drawn over all shingles of the text by weight.
+@cache
+def gamma_quantiles() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A Gamma(2, 1) variable at 2**16 even chances, its inverse and its logarithm."""
+    x = np.concatenate([np.geomspace(1e-4, 1, 20_000), np.linspace(1, 40, 200_000)[1:]])
+    q = np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), -np.expm1(-x) - x * np.exp(-x), x)
+    return q.astype(np.float32), (1 / q).astype(np.float32), np.log(q).astype(np.float32)
 
-    Darts hit the plane of each shingle's weight and a rank evenly, the same
-    for a shingle in every text, and fall into one of SAMPLES bins; those beyond
-    the shingle's weight miss. A bin's sample is its dart of the lowest rank, so
-    two texts agree in a bin with their weighted Jaccard similarity as chance.
-    Ranks go up to a text's own limit, which is doubled until no bin is empty.
+
+def consistent_samples(grams: Grams, weight: np.ndarray) -> np.ndarray:
+    """(texts, SAMPLES): of each sample the shingle and level with the smallest key.
+
+    A shingle's own r, c ~ Gamma(2, 1) and beta ~ Uniform(0, 1) of a sample are
+    the same in every text. With t = floor(ln w / r + beta) its key is
+    ln c - r (t - beta) - r, and the sample is (shingle, t): two texts draw the
+    same one with their weighted Jaccard similarity as chance. Shingles come
+    DRAWN at a time, so long texts need no more room than short ones.
     """
-    out = np.zeros((len(texts), SAMPLES), np.uint64)
-    pending, throws = np.arange(len(texts)), SAMPLES * (np.log(SAMPLES) + 4)
-    while len(pending):
-        low, lengths = grams.bounds[texts[pending]], np.diff(grams.bounds)[texts[pending]]
-        at, row = ranges(low, lengths), np.repeat(np.arange(len(pending)), lengths)
-        limit = throws / np.bincount(row, weight[at], len(pending))
-        # layers of weight from 0 to 1, 1 to 2, 2 to 4, ...
-        layers = 1 + np.maximum(0, np.frexp(weight[at])[1]).astype(np.int64)
-        layer = ranges(np.zeros(len(at), np.int64), layers)
-        at, row = np.repeat(at, layers), np.repeat(row, layers)
-        key = mix(grams.hashes[at] ^ mix(layer.astype(np.uint64) + np.uint64(1), 5))
-        floor, width = np.where(layer, 2.0 ** (layer - 1), 0), np.where(layer, 2.0 ** (layer - 1), 1)
-        top, rank, turn, hits = weight[at], np.zeros(len(at)), 0, []
-        while len(key):
-            turn += 1
-            rank = rank - np.log(((mix(key, 2 * turn) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
-            live = rank <= limit[row]
-            key, rank, row, floor, width, top = (x[live] for x in (key, rank, row, floor, width, top))
-            dart = mix(key, 2 * turn + 1)
-            hit = floor + (dart & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width < top
-            hits.append((row[hit] * SAMPLES + (dart[hit] >> np.uint64(32)).astype(np.int64) % SAMPLES, rank[hit], mix(dart[hit], 3)))
-        cell, rank, name = (np.concatenate(x) for x in zip(*hits, strict=True))
-        order = np.lexsort((rank, cell))
-        cell, name = cell[order], name[order]
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        found, full = np.zeros(len(pending) * SAMPLES, np.uint64), np.zeros(len(pending) * SAMPLES, bool)
-        found[cell[first]], full[cell[first]] = name[first], True
-        done = full.reshape(-1, SAMPLES).all(1)
-        out[pending[done]] = found.reshape(-1, SAMPLES)[done]
-        pending, throws = pending[~done], 2 * throws
-    return out
+    r_of, inverse_of, log_c_of = gamma_quantiles()
+    log_weight = np.log(weight).astype(np.float32)
+    seeds, factor, half = mix(np.arange(1, SAMPLES + 1).astype(np.uint64), 5)[:, None], np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+    least = np.full((SAMPLES, len(grams.bounds) - 1), np.inf, np.float32)
+    out = np.zeros(least.shape, np.uint64)
+    for low in range(0, len(weight), DRAWN):
+        h, log_w, text = (x[low : low + DRAWN] for x in (grams.hashes, log_weight, grams.text))
+        z = (h ^ seeds) * factor
+        z ^= z >> half
+        z *= factor
+        z ^= z >> half
+        parts = z.view(np.uint16).reshape(SAMPLES, -1, 4)
+        beta = parts[:, :, 1].astype(np.float32) * np.float32(2.0**-16)
+        level = np.floor(inverse_of.take(parts[:, :, 0]) * log_w + beta)
+        key = log_c_of.take(parts[:, :, 2]) - r_of.take(parts[:, :, 0]) * (level - beta + 1)
+        starts = np.flatnonzero(np.diff(text, prepend=-1))
+        smallest, own = np.minimum.reduceat(key, starts, axis=1), text[starts]
+        better = smallest < least[:, own]
+        least[:, own] = np.minimum(smallest, least[:, own])
+        sample, at = np.nonzero(key == np.repeat(np.where(better, smallest, -np.inf), np.diff(np.append(starts, len(text))), axis=1))
+        out[sample, text[at]] = mix(h[at] ^ mix(level[sample, at].astype(np.int64).view(np.uint64), 3))
+    return out.T
 
 
 def banded(samples: np.ndarray) -> np.ndarray:
@@ -181,7 +186,7 @@ def banded(samples: np.ndarray) -> np.ndarray:
 
 
 def signed(size: int, level):
-    """Rows (doc_id, key, buckets): key is a digest of the words, null without any."""
+    """Rows (doc_id, key, length, buckets): key is a digest of the words, null without any; length is in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, powers, table = plain_words(), Powers(), level.value
@@ -189,15 +194,13 @@ def signed(size: int, level):
             for block in blocks(batch.column(1), classes, powers):
                 grams = Grams(block, size)
                 joined, at = folded(block)
-                n = np.diff(grams.bounds)
-                buckets: list = [[] for _ in range(block.n)]
-                texts = np.flatnonzero(n)
-                if len(texts):
-                    found = banded(thrown_samples(grams, weight_of(grams, table), texts)).view(np.int64).tolist()
-                    for i, own in zip(texts.tolist(), found, strict=True):
-                        buckets[i] = own
-                keys = [hashlib.blake2b(joined[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(block.n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "buckets"])
+                some = np.diff(grams.bounds) > 0
+                found = banded(consistent_samples(grams, weight_of(grams, table)))
+                buckets = [own if any_ else [] for own, any_ in zip(found.view(np.int64).tolist(), some.tolist(), strict=True)]
+                keys = [hashlib.blake2b(joined[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if some[i] else None for i in range(block.n)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.first, block.n), pa.array(keys, pa.binary()), pa.array(np.diff(at)), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "key", "length", "buckets"]
+                )
 
     return run
 
@@ -270,46 +273,43 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float, level)
     return rows.mapInArrow(compared(size, least, level), "a long, b long")
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair (pivot, node) once."""
+    low, high = F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high")
+    once = pairs.groupBy(low, high).agg(F.min("pivot").alias("pivot"))
+    return once.select("pivot", F.when(F.col("pivot") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node"))
+
+
 def first_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node, size, degree) of buckets of two and more; pairs of each with its bucket's most central member.
+    """Members (bucket, node, length, size) of buckets of two and more; pairs of each with its bucket's most central member.
 
-    A node's degree is how many members its buckets have in all: the text that
-    a family was copied from is similar to most of it and has the highest.
+    Of buckets with the same members one is kept. A node's degree is how many
+    members its buckets have in all: the text that a family was copied from is
+    similar to most of it and has the highest.
     """
-    many = scratch.write(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    name = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}")
+    many = members.groupBy("bucket").agg(F.count("*").alias("size"), name(1), name(2)).where("size > 1")
+    many = scratch.write(many.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     total = many.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    held = scratch.write(hot_join(members, many, ["bucket"], "size", total), "sized")
-    held = scratch.write(held.join(held.groupBy("node").agg(F.sum("size").alias("degree")), "node"), "members")
-    pivots = held.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.max("size").alias("of"))
+    held = scratch.write(hot_join(members, many, ["bucket"], "size", total), "members")
+    degrees = held.groupBy("node").agg(F.sum("size").alias("degree"))
+    pivots = held.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.max("size").alias("of"))
     pairs = hot_join(held.select("bucket", "node"), pivots, ["bucket"], "of", total).where("node <> pivot")
-    return held, untested(pairs, None)
+    return held, distinct_pairs(pairs.select("pivot", "node"))
 
 
-def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Each unordered pair (pivot, node) once, without those in tested."""
-    low, high = F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high")
-    once = pairs.groupBy(low, high).agg(F.min("pivot").alias("pivot"))
-    if tested is not None:
-        once = once.join(tested.select(low, high), ["low", "high"], "left_anti")
-    return once.select("pivot", F.when(F.col("pivot") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node"))
+def opened(held: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """(bucket, node, length, size, root) of the buckets that hold several components."""
+    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("of")).where("low <> high").select("bucket", "of")
+    return hot_join(rooted, split, ["bucket"], "of", total).drop("of")
 
 
-def next_pairs(held: DataFrame, roots: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """New pairs from the buckets that hold several components: members outside
-    the component of the most central member with it and with others that are
-    central, other ones each turn; small buckets with all of theirs."""
-    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chance = lambda k: F.pmod(F.xxhash64("node", F.lit(PIVOTS * turn + k)), F.lit(1000)) / 1000 if k else F.lit(1.0)
-    pivot = lambda k: F.max(F.struct((F.col("degree") * chance(k)).alias("rank"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root")))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[pivot(k).alias(f"of{k}") for k in range(PIVOTS)])
-    split = split.where("low <> high").select("bucket", F.array(*[F.struct(f"of{k}.pivot", f"of{k}.pivot_root") for k in range(PIVOTS)]).alias("of"))
-    open_ = rooted.join(split, "bucket")
-    outside = open_.where((F.col("root") != F.get("of", F.lit(0))["pivot_root"]) & (F.col("size") > SMALL))
-    # a family's buckets mostly agree on their central members: each choice once
-    pairs = outside.select("node", "root", "of").distinct().select("node", "root", F.explode("of").alias("of")).select("node", "root", "of.*")
+def small_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs (pivot, node) of different components of the buckets of up to SMALL members."""
     few = open_.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("all"))
-    few = few.select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y")).select("node", "root", F.col("y.node").alias("pivot"), F.col("y.root").alias("pivot_root"))
-    return untested(pairs.unionByName(few).where("root <> pivot_root"), tested)
+    few = few.select(F.explode("all").alias("x"), "all").select("x.*", F.explode("all").alias("y"))
+    return distinct_pairs(few.where("root <> y.root").select(F.col("y.node").alias("pivot"), "node"))
 
 
 def all_pairs(size: int, least: float, level):
@@ -364,71 +364,59 @@ def all_pairs(size: int, least: float, level):
     return run
 
 
-def remaining(held: DataFrame, roots: DataFrame, texts: DataFrame, size: int, least: float, level) -> DataFrame:
-    """Links (a, b) among all pairs of different components of the buckets that
-    still hold several; smaller ones were compared whole by ``next_pairs``.
+def remaining(open_: DataFrame, texts: DataFrame, size: int, least: float, level) -> DataFrame:
+    """Links (a, b) among all pairs of different components of the larger open buckets.
 
     A bucket's largest component need not be compared with itself: the blocks
     of the others come first, numbered 0 to rest, then its own.
     """
-    rooted = held.where(F.col("size") > SMALL).join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    blocked = lambda n: F.ceil(n / BLOCK).cast("long")
-    split = split.select("bucket", F.col("main.root").alias("main"), blocked(F.col("main.n")).alias("own"), blocked(F.col("n") - F.col("main.n")).alias("rest"))
-    open_ = rooted.join(split, "bucket")
-    shared = open_.groupBy("node").agg(F.collect_set("bucket").alias("shared"))
+    large = open_.where(F.col("size") > SMALL)
+    parts = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocked = lambda n, bytes_: F.greatest(F.ceil(n / BLOCK), F.ceil(bytes_ / BLOCK_TEXTS)).cast("long")
+    split = split.select("bucket", F.col("main.root").alias("main"), blocked(F.col("main.n"), F.col("main.bytes")).alias("own"), blocked(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rest"), F.col("n").alias("of"))
+    sides = hot_join(large, split, ["bucket"], "of", large.count())
+    shared = large.groupBy("node").agg(F.collect_set("bucket").alias("shared"))
     of_main, part = F.col("root") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     side = F.when(of_main, F.col("rest") + part("own")).otherwise(part("rest"))
     others = F.sequence(F.lit(0).cast("long"), F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1)
-    rows = open_.select("bucket", "node", "root", side.alias("side"), F.explode(others).alias("other"))
+    rows = sides.select("bucket", "node", "root", side.alias("side"), F.explode(others).alias("other"))
     rows = rows.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "root")
     return rows.join(shared, "node").join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(all_pairs(size, least, level), "a long, b long")
 
 
-def merged(scratch: Scratch, roots: DataFrame, found: DataFrame, turn: int, small: bool) -> DataFrame:
+def merged(scratch: Scratch, roots: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) after more links; only their ends' components are joined anew."""
     ends = found
     for end in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    above = components(scratch, ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), f"graph-{turn}")
-    above = scratch.write(above.select(F.col("node").alias("root"), F.col("root").alias("top")), f"above-{turn}", small=small)
+    above = components(scratch, ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "graph-more")
+    above = scratch.write(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "above")
     known = roots.join(sized(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return known.unionByName(above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST) -> tuple[Scratch, DataFrame, DataFrame]:
-    """Stored rows (doc_id, key) and, for each key, (key, class_id, class_size, keep)."""
+    """Stored rows (doc_id, key) and, for each key, (key, n, class_id, class_size)."""
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     level = spark.sparkContext.broadcast(weights(texts.select("text"), scratch, size))
-    rows = scratch.write(texts.mapInArrow(signed(size, level), "doc_id long, key binary, buckets array<long>"), "rows")
-    keys = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("buckets").alias("buckets"))
+    rows = scratch.write(texts.mapInArrow(signed(size, level), "doc_id long, key binary, length long, buckets array<long>"), "rows")
+    keys = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("length").alias("length"), F.first("buckets").alias("buckets"))
     keys = scratch.write(keys.withColumn("node", F.monotonically_increasing_id()), "keys")
-    members = keys.select("node", F.explode("buckets").alias("bucket"))
-    held, pairs = first_pairs(members, scratch)
-    pairs = scratch.write(pairs, "pairs-0")
+    held, pairs = first_pairs(keys.select("node", "length", F.explode("buckets").alias("bucket")), scratch)
+    pairs = scratch.write(pairs, "pairs")
     wanted = scratch.write(held.select("node").distinct().join(keys.select("node", "key"), "node"), "wanted")
     words = texts.select("text").mapInArrow(worded(), "key binary, words binary").join(sized(wanted), "key")
     words = scratch.write(words.groupBy("node", "words").agg(F.lit(1).alias("one")).drop("one"), "words")
-    links = scratch.write(verified(pairs, words, size, least, level), "found-0")
-    tested, turn = pairs, 0
-    small = held.count() <= SMALL_ROWS
-    with interpreted(spark, small):
-        roots = scratch.write(components(scratch, links, "graph-0"), "roots-0", small=small)
-        while True:
-            turn += 1
-            pairs = scratch.write(next_pairs(held, roots, tested, turn), f"pairs-{turn}", small=small)
-            if pairs.isEmpty():
-                break
-            found = scratch.write(verified(pairs, words, size, least, level), f"found-{turn}")
-            if found.isEmpty():
-                break
-            roots = scratch.write(merged(scratch, roots, found, turn, small), f"roots-{turn}", small=small)
-            tested = tested.unionByName(pairs)
-        found = scratch.write(remaining(held, roots, words, size, least, level), "found-rest")
-        if not found.isEmpty():
-            roots = scratch.write(merged(scratch, roots, found, turn + 1, small), "roots-rest", small=small)
-    scratch.drop("words", "members")
+    links = scratch.write(verified(pairs, words, size, least, level), "links")
+    roots = scratch.write(components(scratch, links, "graph"), "roots")
+    open_ = scratch.write(opened(held, roots, held.count()), "open")
+    pairs = scratch.write(small_pairs(open_), "small-pairs")
+    more = scratch.write(verified(pairs, words, size, least, level).unionByName(remaining(open_, words, size, least, level)), "more-links")
+    if not more.isEmpty():
+        roots = scratch.write(merged(scratch, roots, more), "merged")
+    scratch.drop("words", "members", "open")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("members"))
     of_key = scratch.write(hot_join(of_key, per, ["root"], "members", keys.count()).select("key", "n", "class_id", "class_size"), "classes")

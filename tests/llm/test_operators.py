@@ -291,6 +291,43 @@ def test_near_pairs_within_a_family(spark, monkeypatch, block):
     assert got == want
 
 
+def test_near_template(spark):
+    """400 texts of one template resemble each other at under 0.8; pairs of them at over 0.8, none through a central text."""
+    template = [f"t{i}" for i in range(404)]
+    rows = []
+    for k in range(200):
+        for c in range(2):
+            w = list(template)
+            for place in range(40, 260, 40):
+                w[place] = f"k{k}p{place}"
+            w[280 + 20 * c] = f"k{k}c{c}x"
+            w[360] = f"k{k}y"
+            rows.append((2 * k + c, " ".join(w), "en", "s", 1))
+    want = brute_near([(a, b) for a, b, *_ in rows])
+    assert want == {i: i - i % 2 for i in range(400)}
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.report(spark, docs_of(spark, rows)).collect()} == want
+
+
+def test_samples_agree_by_similarity():
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts, want = [], []
+    for _ in range(150):
+        own = r.choice(words, 90, replace=False).tolist()
+        other = [f"{w}n" if r.random() < 0.03 else w for w in own]
+        texts += [" ".join(own[:50] * 3 + own), " ".join(other[:50] * 3 + other)]
+    (block,) = blocks(pa.array(texts), plain_words(), most=1 << 30)
+    grams = near_dedup.Grams(block)
+    weight = grams.counts * (0.7 + 0.3 * (grams.hashes % np.uint64(97)).astype(float) / 96)
+    drawn = near_dedup.consistent_samples(grams, weight)
+    for i in range(0, len(texts), 2):
+        x, y = ((grams.hashes[a:b], weight[a:b]) for a, b in zip(grams.bounds[i : i + 2], grams.bounds[i + 1 : i + 3], strict=True))
+        order = [np.argsort(h) for h, _ in (x, y)]
+        want.append(near_dedup.similarity(*[(h[o], w[o]) for (h, w), o in zip((x, y), order, strict=True)]))
+    agree = (drawn[0::2] == drawn[1::2]).mean(1)
+    assert abs(agree.mean() - np.mean(want)) < 0.015 and np.corrcoef(agree, want)[0, 1] > 0.6
+
+
 def test_near_repeated_lines(spark):
     """A few shingles hold most of the weight of long texts."""
     rows = []
