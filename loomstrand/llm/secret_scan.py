@@ -12,6 +12,10 @@ Findings are spans of code points, end exclusive. Rules are scanned leftmost
 first and without overlaps; a match that fails its least length is passed over
 whole.
 
+The ledger may hold a blob more than once, from scans that overlapped or an
+append that was repeated; what the rules find in a blob is the same each time,
+so it is read as one entry.
+
 Defined results: null text is the empty blob; rows that repeat are versions of
 their own; an empty table gives no rows; a null id is kept.
 """
@@ -116,13 +120,17 @@ class Ledger:
         self.path = path or self.scratch.path("ledger")
 
     def known(self) -> DataFrame:
-        """(digest, spans) under the present rules."""
+        """(digest, spans) under the present rules, as it was appended."""
         schema = f"digest binary, spans {_SPANS}, rule_version int"
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema).drop("rule_version")
         return self.spark.read.schema(schema).parquet(self.path).where(F.col("rule_version") == self.version).drop("rule_version")
 
+    def found(self) -> DataFrame:
+        """(digest, spans) of the blobs with findings, each once."""
+        return self.known().where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("spans"))
+
     def scan(self, versions: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
         """Scan the blobs of versions that are not in the ledger and add them.
 
@@ -151,7 +159,7 @@ def findings(spark: SparkSession, versions: DataFrame, id_col: str = "doc_id", t
     ledger = ledger or Ledger(spark)
     blobs, _ = ledger.scan(versions, text_col)
     total = blobs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    some = blobs.join(ledger.known().where(F.size("spans") > 0), "digest")
+    some = blobs.join(ledger.found(), "digest")
     some = ledger.scratch.write(some, "found")
     rows = versions.select(F.col(id_col), digest_of(text_col).alias("digest"))
     return hot_join(rows, some, ["digest"], "n", total, "left").select(id_col, F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
