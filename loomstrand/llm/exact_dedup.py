@@ -1,9 +1,12 @@
 """Exact duplicates: digests screened by static binary-fuse filters.
 
-Rows arrive in batches. Equal digests of one batch are grouped first; the
-groups of earlier batches form immutable snapshots, each with a fuse filter
-for every digest bucket. Only groups that pass a snapshot's filter meet its
-exact buckets. All groups of more than one row are then checked byte by byte.
+Rows arrive in batches. Equal digests of one batch are grouped first. Digests
+that no earlier batch has form the batch's snapshot, which never changes: a
+table bucketed by digest, with a fuse filter for each bucket. A new batch's
+groups pass the filters of the earlier snapshots, and only those that may be
+there meet the snapshot's buckets, which stay where they are; what is found
+goes to a table of its own beside the snapshot. All groups of more than one
+row are then checked byte by byte.
 
 Defined results: null text counts as empty; runs of white space count as one
 space; a null id sorts after all others; of rows that repeat id and text, one
@@ -12,6 +15,10 @@ stays; an empty table gives no rows; other columns are kept untouched.
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +28,8 @@ from ..scratch import Scratch
 from .common import WHITE, fresh, hot_join, sized, text_of
 from .fuse import build, probe
 
-#: Digests for which one filter is made, about.
-BUCKET_ROWS = 50_000
+#: Digests of one bucket, about, for which one filter is made; buckets of a snapshot, at least and at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 100_000
 
 
 def normalised(text: str | Column) -> Column:
@@ -53,24 +60,90 @@ def _screened(rows: pa.Table, filters: pa.Table) -> pa.Table:
 
 
 class Snapshot:
-    """An immutable table of groups (digest, keep_id, n) with its filters."""
-
-    def __init__(self, scratch: Scratch, groups: DataFrame, tag: str):
-        self.rows = groups.count()
-        self.buckets = max(16, -(-self.rows // BUCKET_ROWS))
-        self.groups = groups
-        self.filters = scratch.write(
-            self.bucketed(groups).groupBy("bucket").applyInArrow(_filter_of, "bucket int, seed long, length long, count long, cells binary"), f"{tag}-filters"
-        )
+    """An immutable table of groups (digest, keep_id, n), bucketed by digest, with its filters."""
+
+    def __init__(self, spark: SparkSession, root: str, k: int, buckets: int, groups: DataFrame | None = None):
+        """Opens the snapshot, or writes it first if ``groups`` are given. Without any rows it is a plain table of no buckets."""
+        self.k, self.buckets, name = k, buckets, f"groups_{uuid.uuid4().hex}"
+        path, filters = f"{root}/snapshot-{k}-{buckets}", f"{root}/filters-{k}"
+        if groups is not None:
+            if buckets:
+                held = groups.repartition(buckets, "digest").sortWithinPartitions("digest")
+                held.write.mode("overwrite").option("compression", "zstd").option("path", f"{path}.new").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+                self.bucketed(spark.table(name)).groupBy("bucket").applyInArrow(_filter_of, _FILTER).write.mode("overwrite").parquet(filters)
+                spark.sql(f"DROP TABLE {name}")  # its files stay
+            else:
+                groups.write.mode("overwrite").parquet(f"{path}.new")
+            moved = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+            moved.getFileSystem(spark._jsc.hadoopConfiguration()).rename(moved, spark._jvm.org.apache.hadoop.fs.Path(path))
+        self.groups = spark.read.parquet(path)
+        if buckets:
+            columns = ", ".join(f"{c} {t}" for c, t in self.groups.dtypes)
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+            self.groups, self.filters = spark.table(name), spark.read.schema(_FILTER).parquet(filters)
 
     def bucketed(self, groups: DataFrame) -> DataFrame:
-        return groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int"))
+        return groups.withColumn("bucket", F.pmod(F.hash("digest"), F.lit(self.buckets)))
 
     def screen(self, groups: DataFrame) -> DataFrame:
         """The groups with ``maybe``: false where the snapshot can't hold the digest."""
         kind = groups.schema["keep_id"].dataType.simpleString()
         return self.bucketed(groups).groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(_screened, f"digest binary, keep_id {kind}, n long, maybe boolean")
 
+    def matched(self, groups: DataFrame) -> DataFrame:
+        """The (stored) groups whose digest the snapshot holds; its own rows are not shuffled."""
+        return self.groups.select("digest").join(sized(groups), "digest").select("digest", "keep_id", "n")
+
+
+_FILTER = "bucket int, seed long, length long, count long, cells binary"
+
+
+class Snapshots:
+    """The snapshots below a folder, in the order of their batches.
+
+    ``add`` leaves all that is there as it is; a batch counts once its
+    snapshot has its name, which is the last step.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.scratch = spark, Scratch(spark, "exact-batches")
+        self.path = path or self.scratch.path("snapshots")
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        found = sorted((int(m[1]), int(m[2])) for m in (re.fullmatch(r"snapshot-(\d+)-(\d+)", n) for n in names) if m)
+        self.held = [Snapshot(spark, self.path, k, buckets) for k, buckets in found]
+
+    def _found(self, k: int, j: int) -> str:
+        return f"{self.path}/found-{k}-{j}"
+
+    def add(self, rows: DataFrame) -> None:
+        """Add a batch's rows (id, digest, copies)."""
+        k = len(self.held)
+        groups = self.scratch.write(grouped(rows), f"new-{k}")
+        for snapshot in (s for s in self.held if s.buckets):
+            screened = self.scratch.write(snapshot.screen(groups), f"screened-{k}-{snapshot.k}")
+            maybe = self.scratch.write(screened.where("maybe").drop("maybe"), f"maybe-{k}-{snapshot.k}")
+            snapshot.matched(maybe).write.mode("overwrite").option("compression", "zstd").parquet(self._found(k, snapshot.k))
+            found = self.spark.read.schema(maybe.schema).parquet(self._found(k, snapshot.k))
+            groups = screened.where("not maybe").drop("maybe").unionByName(maybe.join(sized(found.select("digest")), "digest", "left_anti"))
+        n = groups.count()
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))) if n else 0
+        self.held.append(Snapshot(self.spark, self.path, k, buckets, groups))
+
+    def groups(self) -> DataFrame:
+        """(digest, keep_id, n) of each digest, over all batches."""
+        out = []
+        for snapshot in self.held:
+            later = [self.spark.read.parquet(self._found(k, snapshot.k)) for k in range(snapshot.k + 1, len(self.held)) if snapshot.buckets]
+            if later:
+                more = reduce(DataFrame.unionByName, later).groupBy("digest").agg(F.min("keep_id").alias("new_id"), F.sum("n").alias("new_n"))
+                more = sized(self.scratch.write(more, f"later-{snapshot.k}"))
+                out.append(snapshot.groups.join(more, "digest", "left").select("digest", F.least("keep_id", "new_id").alias("keep_id"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n")))
+            else:
+                out.append(snapshot.groups.select("digest", "keep_id", "n"))
+        return reduce(DataFrame.unionByName, out)
+
 
 def digested(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, batches: int, digest=sha256) -> DataFrame:
     """(id, digest, copies, batch) for each distinct row; repeated rows are counted before any shuffle."""
@@ -85,19 +158,10 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def groups_of(spark: SparkSession, rows: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
     """One row (digest, keep_id, n) for each digest, batch after batch."""
-    known = scratch.write(grouped(rows.where("batch = 0")), "snapshot-0")
-    for k in range(1, batches):
-        snapshot = Snapshot(scratch, known, f"snapshot-{k - 1}")
-        new = scratch.write(grouped(rows.where(F.col("batch") == k)), f"new-{k}")
-        screened = scratch.write(snapshot.screen(new), f"screened-{k}")
-        fresh_groups = screened.where(~F.col("maybe")).drop("maybe")
-        hits = screened.where("maybe").select("digest", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
-        merged = known.join(hits, "digest", "full").select(
-            "digest", F.least("keep_id", "new_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n")
-        )
-        known = scratch.write(merged.unionByName(fresh_groups), f"snapshot-{k}")
-        scratch.drop(f"snapshot-{k - 1}", f"new-{k}", f"screened-{k}", f"snapshot-{k - 1}-filters")
-    return known
+    snapshots = Snapshots(spark)
+    for k in range(batches):
+        snapshots.add(rows.where(F.col("batch") == k))
+    return scratch.write(snapshots.groups(), "groups")
 
 
 def collided(docs: DataFrame, groups: DataFrame, text_col: str, digest=sha256) -> DataFrame:
