@@ -126,6 +126,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def portions(lengths: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive lengths whose sum is ``most`` at most, or of one."""
+    sums, low = np.cumsum(lengths), 0
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + most, "right")))
+        yield slice(low, high)
+        low = high
+
+
 def binaries(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Arrow binary values cut out of data."""
     at = np.zeros(len(lengths) + 1, np.int64)

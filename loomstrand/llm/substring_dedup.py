@@ -11,7 +11,10 @@ repeated ones marked in a bit table of fixed size; what it lets through by
 chance is merely counted in vain. Very frequent minimisers are ranked behind
 all others, so a common phrase gathers no bucket unless whole windows consist
 of it; such buckets are parted by a second minimiser, and equal strings are
-summed before they are shuffled.
+summed before they are shuffled. What still gathers many strings, such as a
+notice that stands in many texts with other words around it each time, is
+counted window by window instead, by digest, so that no task holds a bucket of
+over HELD strings.
 
 Defined results: words are runs of other than white space, unchanged; null and
 empty texts have none and are kept as they are; a text shorter than a window
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .blocks import BLOCK_BYTES, Block, Powers, binaries, blocks, mix, ranges, sliding_min, white_words
-from .common import hot_join, text_of
+from .blocks import BLOCK_BYTES, Block, Powers, binaries, blocks, mix, portions, ranges, sliding_min, white_words
+from .common import hot_join, sized, text_of
 
 #: Bits of the table of repeated minimisers; 8 MB whatever the input.
 SCREEN_BITS = 1 << 26
 #: A minimiser is frequent from this many places on, or from this share.
 FREQUENT, FREQUENT_SHARE = 500, 1e-6
+#: Strings of a bucket that one task counts, at most.
+HELD = 1000
 _TOP = np.uint64(1 << 63)
 
 
@@ -134,12 +139,13 @@ def cut(window: int, core: int, shared, with_text: bool):
                     stop[:-1] = (least[1:] != least[:-1]) | ~valid[1:] | (text[1 : len(least)] != text[: len(least) - 1])
                     end = np.flatnonzero(stop & valid)
                     travels[text[begin]] = True
-                    if len(begin):
-                        low, high = starts[begin], stops[end + window - 1]
+                    for part in portions(stops[end + window - 1] - starts[begin], 1 << 28):
+                        b, e = begin[part], end[part]
+                        low, high = starts[b], stops[e + window - 1]
                         yield _rows(
-                            len(begin), kind=pa.array(np.full(len(begin), 2, np.int32)), row_id=pa.array(rows[text[begin]]),
-                            first=pa.array((begin - block.bounds[text[begin]]).astype(np.int32)), windows=pa.array((end - begin + 1).astype(np.int32)),
-                            bucket=pa.array(least[begin].view(np.int64)), packed=binaries(joined, low, high - low),
+                            len(b), kind=pa.array(np.full(len(b), 2, np.int32)), row_id=pa.array(rows[text[b]]),
+                            first=pa.array((b - block.bounds[text[b]]).astype(np.int32)), windows=pa.array((e - b + 1).astype(np.int32)),
+                            bucket=pa.array(least[b].view(np.int64)), packed=binaries(joined, low, high - low),
                         )
                 some = block.counts > 0
                 at = np.zeros(block.n, np.int64)
@@ -232,6 +238,47 @@ def count_windows(window: int, most: int = 8 * BLOCK_BYTES):
     return run
 
 
+def single_windows(window: int):
+    """Rows (sid, windows, place, wid, n) of rows (sid, packed, n): the digest of each window of the string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, powers = white_words(), Powers()
+        for batch in batches:
+            for block in blocks(batch.column("packed"), classes, powers):
+                sid, n = batch.column("sid").slice(block.first, block.n), batch.column("n").slice(block.first, block.n)
+                first = np.flatnonzero(block.room() >= window)
+                text = block.text_of_word()[first]
+                low, high = block.starts[first], block.stops[first + window - 1]
+                wid = [hashlib.sha256(block.data[a:b]).digest()[:16] for a, b in zip(low, high, strict=True)]
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [sid.take(at), pa.array((block.counts - window + 1)[text].astype(np.int32)), pa.array((first - block.bounds[text]).astype(np.int32)), pa.array(wid, pa.binary()), n.take(at)],
+                    ["sid", "windows", "place", "wid", "n"],
+                )
+
+    return run
+
+
+def packed_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sid, n, flags) of rows (sid, n, windows, places)."""
+    for batch in batches:
+        flags = []
+        for windows, places in zip(batch.column("windows").to_pylist(), batch.column("places"), strict=True):
+            marks = np.zeros(windows, bool)
+            marks[places.values.to_numpy()] = True
+            flags.append(np.packbits(marks).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(flags, pa.binary())], ["sid", "n", "flags"])
+
+
+def flags_by_window(strings: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """As ``count_windows``, of rows (sid, packed, n) in any order."""
+    single = scratch.write(strings.mapInArrow(single_windows(window), "sid binary, windows int, place int, wid binary, n long"), "single-windows")
+    times = single.groupBy("wid").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1")
+    hit = hot_join(single, times, ["wid"], "rows", single.count())
+    places = hit.groupBy("sid", "n", "windows").agg(F.collect_list("place").alias("places"))
+    return places.mapInArrow(packed_flags, "sid binary, n long, flags binary")
+
+
 def resolve(window: int, with_text: bool):
     """Rows (row_id, doc_id, n_words, body, parts): words left after the removal."""
 
@@ -272,8 +319,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     scratch.drop("minimisers")
     passed = scratch.write(rows.mapInArrow(cut(window, core, shared, with_text), _PASS_SQL), "cut", "kind")
     pieces = passed.where("kind = 2").withColumn("sid", F.unhex(F.sha2("packed", 256)))
-    strings = pieces.groupBy("bucket", "sid", "packed").agg(F.count("*").alias("n"))
-    flags = scratch.write(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows(window), "sid binary, n long, flags binary"), "flags")
+    large = scratch.write(pieces.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("bucket"), "large-buckets")
+    side = sized(large)
+    strings = pieces.join(side, "bucket", "left_anti").groupBy("bucket", "sid", "packed").agg(F.count("*").alias("n"))
+    flags = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows(window), "sid binary, n long, flags binary")
+    many = pieces.join(side, "bucket", "left_semi").groupBy("sid", "packed").agg(F.count("*").alias("n"))
+    flags = scratch.write(flags.unionByName(flags_by_window(many, scratch, window)), "flags")
     n_pieces = passed.where("kind = 2").count()
     parts = hot_join(pieces.select("row_id", "first", "windows", "sid"), flags, ["sid"], "n", n_pieces)
     parts = parts.groupBy("row_id").agg(F.collect_list(F.struct("first", "windows", "flags")).alias("parts"))

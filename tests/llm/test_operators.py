@@ -1,5 +1,6 @@
 """Corpus operators against brute force, round trips and planted cases, and their odd inputs."""
 
+import gzip
 import hashlib
 import json
 import math
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstrand.llm import chat_format, decontaminate, exact_dedup, fuse, mixing, near_dedup, quality, secret_scan, substring_dedup, toxicity, warc
-from loomstrand.llm.blocks import blocks, plain_words, sliding_min, white_words
+from loomstrand.llm.blocks import blocks, plain_words, portions, sliding_min, white_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -113,6 +114,43 @@ def test_exact_colliding_digests_are_told_apart(spark):
     assert {(r["id"], r["keep_id"], r["n"]) for r in got} == {(i, i % 7, len(range(i % 7, 40, 7))) for i in range(40)}
 
 
+def test_exact_later_batches(spark, tmp_path):
+    """Batches that arrive one by one, the folder opened anew each time; snapshots stay as they were and where they are."""
+    path, r = f"file://{tmp_path}/snapshots", random.Random(6)
+    batches = [[(k * 1000 + i, f"t {r.randrange(300)}") for i in range(400)] for k in (2, 0, 1)]
+    seen = {}
+    for k, batch in enumerate(batches):
+        rows = spark.createDataFrame(batch, "id long, text string").select("id", exact_dedup.sha256(F.col("text")).alias("digest"), F.lit(1).cast("long").alias("copies"))
+        exact_dedup.Snapshots(spark, path).add(rows)
+        files = {f: f.stat().st_mtime_ns for f in (tmp_path / "snapshots").glob("snapshot-*/part-*")}
+        assert {f: files[f] for f in seen} == seen and len(files) > len(seen)
+        seen = files
+        want = brute_exact([x for b in batches[: k + 1] for x in b])
+        groups = {(x["keep_id"], x["n"]) for x in exact_dedup.Snapshots(spark, path).groups().collect()}
+        assert groups == {(x[1], x[2]) for x in want}
+    last = exact_dedup.Snapshots(spark, path).held
+    assert sum(s.groups.count() for s in last) == len({t for b in batches for _, t in b})
+
+
+def test_exact_snapshot_is_not_shuffled(spark, tmp_path, monkeypatch):
+    from loomstrand import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    rows = spark.range(5000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.lit(1).cast("long").alias("copies"))
+    held = exact_dedup.Snapshots(spark, f"file://{tmp_path}/snapshots")
+    held.add(rows)
+    hits = rows.where("id % 3 = 0").select("digest", F.col("id").alias("keep_id"), F.col("copies").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = held.held[0].matched(hits)
+        assert out.count() == 1667
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = plan[: plan.index("Exchange")]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in scan
+
+
 def test_exact_kept_rows(spark):
     out = exact_dedup.deduplicated(spark, odd(spark))
     assert out.columns == odd(spark).columns
@@ -162,8 +200,15 @@ def test_passages(spark, window, core):
         assert row["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
 
 
-def test_passages_frequent_minimisers(spark, monkeypatch):
+def test_portions():
+    assert [(p.start, p.stop) for p in portions(np.array([3, 4, 9, 1, 1, 1]), 8)] == [(0, 2), (2, 3), (3, 6)]
+    assert list(portions(np.zeros(0, np.int64), 8)) == []
+
+
+@pytest.mark.parametrize("held", [1, 10, 1000])
+def test_passages_frequent_minimisers(spark, monkeypatch, held):
     monkeypatch.setattr(substring_dedup, "FREQUENT", 3)
+    monkeypatch.setattr(substring_dedup, "HELD", held)
     r = random.Random(4)
     line = " ".join(f"c{i}" for i in range(5))
     texts = [" ".join(f"u{r.randrange(10**6)}" for _ in range(12)) + " " + line + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(12)) for _ in range(40)] + [line * 1] * 5
@@ -656,6 +701,20 @@ def test_ledger_scans_only_unseen(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ledger")).groupBy("digest", "rule_version").count().where("count > 1").count() == 0
 
 
+def test_ledger_with_repeated_entries(spark, tmp_path):
+    """Two scans that saw the same empty ledger, and an append that was repeated, leave each path once."""
+    rows = [(k, f"v{k % 3} password = abcdefghijkl{k % 3}", "en", "s", 1) for k in range(9)]
+    path = f"file://{tmp_path}/ledger"
+    one, two = secret_scan.Ledger(spark, path), secret_scan.Ledger(spark, path)
+    two.known = lambda: spark.createDataFrame([], one.known().schema)  # it has looked before the other's append
+    assert one.scan(docs_of(spark, rows))[1] == two.scan(docs_of(spark, rows))[1] == 3
+    again = spark.read.parquet(path)
+    again.limit(again.count()).write.mode("append").parquet(path)
+    assert one.known().count() == 12
+    got = rows_of(secret_scan.findings(spark, docs_of(spark, rows), ledger=one))
+    assert sorted(r["doc_id"] for r in got) == list(range(9)) and all(len(r["spans"]) == 1 for r in got)
+
+
 def test_secrets_odd(spark):
     assert len(rows_of(secret_scan.report(spark, odd(spark)))) == len(ODD)
     assert secret_scan.report(spark, docs_of(spark, [])).count() == 0
@@ -680,6 +739,48 @@ def test_archive(spark, tmp_path):
     assert warc.report(spark, pages.where("false")).count() == 0
 
 
+def warc_fields(head):
+    return dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
+
+
+def test_archive_is_standard(spark, tmp_path):
+    """Any gzip reader sees all records; ids are unique, dates are there, revisits refer to their response."""
+    rows = [(k % 4, f"u{k % 3}", f"<p>{k % 2}" + "x" * 200) for k in range(24)] + [(9, "u", "short")] * 3 + [(None, None, "short")] * 2
+    archive = warc.Archive(spark, str(tmp_path / "archive"))
+    archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"), date="2026-01-02T03:04:05Z")
+    found = [r for f in (tmp_path / "archive" / "records").glob("part-*") for r in warc.records(gzip.decompress(f.read_bytes()))]
+    fields = [warc_fields(head) for head, _ in found]
+    assert len(found) == len(rows) == len({f["WARC-Record-ID"] for f in fields}) and {f["WARC-Date"] for f in fields} == {"2026-01-02T03:04:05Z"}
+    responses = {f["WARC-Record-ID"]: f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "response"}
+    assert len(responses) == 2 + 5 and all(responses[f["WARC-Refers-To"]] == f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "revisit")
+    assert {len(block) for head, block in found if "revisit" in head} == {0}
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    record = lambda k, body: f"WARC/1.0\r\nwarc-type: resource\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [b"one", b"", b"\r\n\r\nWARC/1.0" * 70000]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(record(k, x)) for k, x in enumerate(bodies)))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(record(k, x) for k, x in enumerate(bodies))))
+    (tmp_path / "plain.warc").write_bytes(b"".join(record(k, x) for k, x in enumerate(bodies)))
+    got = Counter((bytes(r["payload"]), r["bytes"], r["digest"]) for r in warc.foreign(spark, str(tmp_path)).collect())
+    assert got == Counter({(x, len(x), hashlib.sha256(x).hexdigest()): 3 for x in bodies})
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(gzip.compress(record(0, b"one"))[:-9]))
+
+
+def test_large_pages_in_bounded_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "FILE_CHUNKS", 4)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.sha2(F.concat(F.col("id"), F.lit(":"), i), 256))).alias("html"))
+    archive = warc.Archive(spark, str(tmp_path / "archive"))
+    archive.write(pages)
+    files = list((tmp_path / "archive" / "records").glob("part-*"))
+    assert len(files) > 20 and max(f.stat().st_size for f in files) < 4 * (1 << 16) + 5 * 40000
+    one = max(archive.spark.read.options(**warc._MARKED).text(f"{archive.path}/records").collect(), key=lambda r: len(r["value"]))
+    assert len(one["value"]) < (1 << 16) + 40000
+    assert archive.rebuilt().where(F.sha2("payload", 256) == F.col("digest")).select("id").distinct().count() == 300
+
+
 # 10 quality
 
 
