@@ -43,32 +43,50 @@ source_bins AS (SELECT contig_id, CAST(dense_rank() OVER (ORDER BY size DESC, gr
 _PURITY = """
 labels_of AS (SELECT bin, left(contig_id, 2) AS label, count(*) AS n FROM source_bins GROUP BY ALL),
 purity AS (SELECT bin, arg_max(label, (n, label)) AS label, max(n) AS correct, CAST(sum(n) AS BIGINT) AS size, max(n) / sum(n) AS purity FROM labels_of GROUP BY bin)"""
-# models of one cluster a language: contexts of up to 2 bases with more than 50 following bases, smoothed
-_MODELS = f"""WITH {_CONTIGS}, {_LANG.format(rows="contigs")},
-bases AS (SELECT contig_id, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS pos FROM contigs WHERE seq <> ''),
-seen AS (SELECT contig_id, b, pos, lag(b, 1) OVER w AS c1, lag(b, 1) OVER w || lag(b, 2) OVER w AS c2 FROM bases WINDOW w AS (PARTITION BY contig_id ORDER BY pos)),
-raw AS (
-  SELECT bin AS cluster, level, context, count(*) FILTER (b = 'A') AS n_a, count(*) FILTER (b = 'C') AS n_c, count(*) FILTER (b = 'G') AS n_g, count(*) FILTER (b = 'T') AS n_t, count(*) AS n
-  FROM (SELECT contig_id, b, 0 AS level, '' AS context FROM seen UNION ALL SELECT contig_id, b, 1, c1 FROM seen WHERE c1 IS NOT NULL UNION ALL SELECT contig_id, b, 2, c2 FROM seen WHERE c2 IS NOT NULL)
-  JOIN lang_bins USING (contig_id) GROUP BY ALL),
-kept AS (SELECT * FROM raw WHERE n > 50 OR level = 0),
-tall AS (SELECT cluster, level, context, n, unnest(['A', 'C', 'G', 'T']) AS b, unnest([n_a, n_c, n_g, n_t]) AS k FROM kept),
-p0 AS (SELECT cluster, context, b, (1 - 1.0 / n) * k / n + (1.0 / n) * 0.25 AS p FROM tall WHERE level = 0),
-p1 AS (SELECT t.cluster, t.context, t.b, (1 - 1.0 / n) * k / n + (1.0 / n) * p0.p AS p FROM tall t JOIN p0 ON p0.cluster = t.cluster AND p0.b = t.b WHERE level = 1),
-p2 AS (SELECT t.cluster, t.context, t.b, (1 - 1.0 / n) * k / n + (1.0 / n) * p1.p AS p FROM tall t JOIN p1 ON p1.cluster = t.cluster AND p1.b = t.b AND p1.context = left(t.context, 1) WHERE level = 2),
-weights AS (SELECT cluster, context, b, log2(4 * greatest(p, 1.0 / 64)) AS w FROM (FROM p0 UNION ALL FROM p1 UNION ALL FROM p2))"""
-_SCORES = f"""{_MODELS},
+# models of one cluster a language: contexts of up to 40 bases with more than 50 following bases, smoothed. A context is a
+# number: 1, then a digit of base 4 for each base, the last one first; its shorter context is a quarter of it
+_MODELS = f"""WITH RECURSIVE {_CONTIGS}, {_LANG.format(rows="contigs")},
+bases AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY contig_id, pos) AS INTEGER) AS id, contig_id, bin AS cluster, CAST(strpos('ACGT', b) - 1 AS INTEGER) AS b
+  FROM (SELECT contig_id, bin, unnest(string_split('!' || seq, '')) AS b, generate_subscripts(string_split('!' || seq, ''), 1) AS pos FROM contigs JOIN lang_bins USING (contig_id))),
+seen AS (
+  SELECT 0 AS level, id, cluster, b, CAST(1 AS HUGEINT) AS code FROM bases WHERE b >= 0
+  UNION ALL
+  SELECT level, id, cluster, b, code FROM (
+    SELECT a.level + 1 AS level, a.id, a.cluster, a.b, a.code * 4 + p.b AS code, count(*) OVER (PARTITION BY a.cluster, a.code * 4 + p.b) AS n
+    FROM seen a JOIN bases p ON p.id = a.id - a.level - 1 WHERE p.b >= 0 AND a.level < 40) WHERE n > 50),
+states AS MATERIALIZED (
+  SELECT cluster, level, code, count(*) FILTER (b = 0) AS n_a, count(*) FILTER (b = 1) AS n_c, count(*) FILTER (b = 2) AS n_g, count(*) FILTER (b = 3) AS n_t, count(*) AS n FROM seen GROUP BY ALL),
+tall AS (SELECT cluster, level, code, n, unnest([0, 1, 2, 3]) AS b, unnest([n_a, n_c, n_g, n_t]) AS k FROM states),
+probs AS (
+  SELECT cluster, level, code, b, (1 - 1.0 / n) * k / n + (1.0 / n) * 0.25 AS p FROM tall WHERE level = 0
+  UNION ALL
+  SELECT t.cluster, t.level, t.code, t.b, (1 - 1.0 / n) * k / n + (1.0 / n) * p.p FROM probs p JOIN tall t ON t.cluster = p.cluster AND t.code // 4 = p.code AND t.b = p.b AND t.level = p.level + 1),
+weights AS MATERIALIZED (SELECT cluster, code, b, log2(4 * greatest(p, 1.0 / 64)) AS w FROM probs)"""
+# what each longer context adds to the score, so that the sum over all levels is that of the longest state of each base
+_WALK = """
+steps AS MATERIALIZED (
+  SELECT x.cluster, x.code, x.b, x.w - coalesce(y.w, 0) AS w, x.w * x.w - coalesce(y.w * y.w, 0) AS q
+  FROM weights x LEFT JOIN weights y ON y.cluster = x.cluster AND y.code = x.code // 4 AND y.b = x.b),
 clusters AS (SELECT DISTINCT bin AS cluster FROM lang_bins),
-walked AS (
-  SELECT s.contig_id, c.cluster, coalesce(w2.w, w1.w, w0.w) AS w
-  FROM seen s CROSS JOIN clusters c
-  LEFT JOIN weights w0 ON w0.cluster = c.cluster AND w0.context = '' AND w0.b = s.b
-  LEFT JOIN weights w1 ON w1.cluster = c.cluster AND w1.context = s.c1 AND w1.b = s.b
-  LEFT JOIN weights w2 ON w2.cluster = c.cluster AND w2.context = s.c2 AND w2.b = s.b),
+walk AS (
+  SELECT 0 AS level, x.id, x.contig_id, x.b, k.cluster, CAST(1 AS HUGEINT) AS code FROM {bases} x CROSS JOIN clusters k WHERE x.b >= 0
+  UNION ALL
+  SELECT w.level + 1, w.id, w.contig_id, w.b, w.cluster, s.code
+  FROM walk w JOIN {bases} p ON p.id = w.id - w.level - 1 JOIN states s ON s.cluster = w.cluster AND s.code = w.code * 4 + p.b WHERE p.b >= 0),
+walked AS (SELECT contig_id, cluster, sum(w) AS score, sum(q) AS squares FROM walk JOIN steps USING (cluster, code, b) GROUP BY ALL),
 scores AS (
   SELECT contig_id, cluster, coalesce(score, 0) AS score, coalesce(squares, 0) AS squares, len(seq) AS len, bin AS mine
-  FROM contigs CROSS JOIN clusters JOIN lang_bins USING (contig_id)
-  LEFT JOIN (SELECT contig_id, cluster, sum(w) AS score, sum(w * w) AS squares FROM walked GROUP BY ALL) USING (contig_id, cluster))"""
+  FROM contigs CROSS JOIN clusters JOIN lang_bins USING (contig_id) LEFT JOIN walked USING (contig_id, cluster))"""
+_SCORES = f"{_MODELS},{_WALK.format(bases='bases')}"
+_REVERSED = f"""{_MODELS},
+reversed AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY contig_id, pos) AS INTEGER) AS id, contig_id, CAST(strpos('ACGT', b) - 1 AS INTEGER) AS b
+  FROM (SELECT contig_id, unnest(string_split('!' || translate(reverse(seq), 'ACGT', 'TGCA'), '')) AS b, generate_subscripts(string_split('!' || seq, ''), 1) AS pos FROM contigs)),
+{_WALK.format(bases="reversed").strip()}"""
+_STRANDS = f"""WITH strands AS (
+  SELECT contig_id, cluster, false AS backward, score FROM ({_SCORES} SELECT * FROM scores)
+  UNION ALL SELECT contig_id, cluster, true AS backward, score FROM ({_REVERSED} SELECT * FROM scores))"""
 _BEST = "best AS (SELECT contig_id, any_value(mine) AS mine, max(score) AS score, arg_max(cluster, (score, -cluster)) AS cluster FROM scores GROUP BY contig_id)"
 _STATS = "stats AS (SELECT cluster, count(*) AS size, CAST(sum(len) AS BIGINT) AS bases, sum(score) / sum(len) AS mean, sum(squares) / sum(len) - (sum(score) / sum(len)) * (sum(score) / sum(len)) AS var FROM scores WHERE cluster = mine GROUP BY cluster)"
 _MATCHES = """
@@ -96,6 +114,86 @@ chi AS (
          sum(CASE WHEN na + nb > 0 THEN pow(na - (na + nb) * ta / (ta + tb), 2) / greatest(0.01, (na + nb) * ta / (ta + tb)) + pow(nb - (na + nb) * tb / (ta + tb), 2) / greatest(0.01, (na + nb) * tb / (ta + tb)) ELSE 0 END) AS chi,
          sum(CASE WHEN na + nz > 0 THEN pow(na - (na + nz) * ta / (ta + tb), 2) / greatest(0.01, (na + nz) * ta / (ta + tb)) + pow(nz - (na + nz) * tb / (ta + tb), 2) / greatest(0.01, (na + nz) * tb / (ta + tb)) ELSE 0 END) AS chi_reverse
   FROM cells GROUP BY a, b)"""
+_SEEDS = """
+both_links AS (SELECT a AS u, b AS v FROM chi WHERE least(chi, chi_reverse) <= 255 UNION SELECT b, a FROM chi WHERE least(chi, chi_reverse) <= 255),
+reach AS (SELECT u AS node, u AS root FROM both_links UNION SELECT v, root FROM reach JOIN both_links ON node = u),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degrees AS (SELECT u AS node, count(*) AS degree FROM both_links GROUP BY u),
+comps AS (SELECT root, max(degree) AS top, arg_min(node, (-degree, node)) AS first FROM roots JOIN degrees USING (node) GROUP BY root HAVING count(*) >= 6),
+numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY top DESC, first) AS INTEGER) AS cluster FROM comps),
+seeds AS MATERIALIZED (SELECT node AS contig_id, cluster FROM roots JOIN numbered USING (root))"""
+_HALF = "pow({x} - ({p} + {y}) * {t} / (ta + tb), 2) / greatest(0.01, ({p} + {y}) * {t} / (ta + tb))"
+
+
+def _two_columns(y: str) -> str:
+    a, b = (_HALF.replace("{x}", x).replace("{y}", y).replace("{p}", "{profile}").replace("{t}", t) for x, t in (("{profile}", "ta"), (y, "tb")))
+    return f"sum(CASE WHEN {{profile}} + {y} > 0 THEN {a} + {b} ELSE 0 END)"
+
+
+_TURN = f"({_two_columns('turned')} < {_two_columns('n')})"
+
+
+def _merged(bins: str, out: str, below: float) -> str:
+    """Bins of ``bins`` after one round in which each, in order, leads unless it was taken and takes the later ones close to it."""
+    return f"""
+{out}_m AS MATERIALIZED (SELECT bin, kmer, quantile_cont(p, 0.5) AS p FROM filled JOIN {bins} USING (contig_id) GROUP BY bin, kmer),
+{out}_l AS MATERIALIZED (SELECT y.bin, list(x.bin) AS before FROM (SELECT x.bin AS a, y.bin AS b FROM {out}_m x JOIN {out}_m y ON x.kmer = y.kmer AND x.bin < y.bin GROUP BY ALL HAVING sum(abs(x.p - y.p)) / 2 < {below}) z
+  JOIN (SELECT DISTINCT bin FROM {bins}) x ON x.bin = z.a JOIN (SELECT DISTINCT bin FROM {bins}) y ON y.bin = z.b GROUP BY y.bin),
+{out}_w AS (
+  SELECT 0 AS i, CAST([] AS INTEGER[]) AS leads, 0 AS taker
+  UNION ALL
+  SELECT i + 1, CASE WHEN list_has_any(coalesce(before, []), leads) THEN leads ELSE list_append(leads, i + 1) END, coalesce(list_min(list_intersect(coalesce(before, []), leads)), i + 1)
+  FROM {out}_w LEFT JOIN {out}_l ON bin = i + 1 WHERE i < (SELECT coalesce(max(bin), 0) FROM {bins})),
+{out} AS MATERIALIZED (
+  SELECT contig_id, CAST(dense_rank() OVER (ORDER BY size DESC, taker) AS INTEGER) AS bin
+  FROM (SELECT contig_id, taker, count(*) OVER (PARTITION BY taker) AS size FROM {bins} JOIN {out}_w ON i = bin))"""
+
+
+def _near(bins: str, candidates: str, out: str, most: float) -> str:
+    """Bins of ``bins`` with the candidates at most ``most`` from their nearest median."""
+    return f"""
+{out}_m AS MATERIALIZED (SELECT bin, kmer, quantile_cont(p, 0.5) AS p FROM filled JOIN {bins} USING (contig_id) GROUP BY bin, kmer),
+{out}_d AS (
+  SELECT contig_id, arg_min(bin, (dist, bin)) AS bin, min(dist) AS dist
+  FROM (SELECT f.contig_id, m.bin, sum(abs(f.p - m.p)) / 2 AS dist FROM filled f JOIN {out}_m m USING (kmer) WHERE f.contig_id IN (SELECT contig_id FROM {candidates}) AND f.contig_id NOT IN (SELECT contig_id FROM {bins}) GROUP BY ALL) GROUP BY contig_id),
+{out} AS MATERIALIZED (
+  SELECT contig_id, CAST(dense_rank() OVER (ORDER BY size DESC, bin) AS INTEGER) AS bin
+  FROM (SELECT contig_id, bin, count(*) OVER (PARTITION BY bin) AS size FROM (SELECT contig_id, bin FROM {bins} UNION ALL SELECT contig_id, bin FROM {out}_d WHERE dist <= {most})))"""
+
+
+def _binned(where: str = "true") -> str:
+    """The whole distance binning of the contigs for which ``where`` holds, as the table ``binned``."""
+    rounds = [_merged(f"c{k}", f"c{k + 1}", below) for k, below in enumerate((0.02, 0.03125, 0.04, 0.05, 0.0625))]
+    return f"""{_ALL.replace("FROM documents)", f"FROM (SELECT *, coalesce(lang, '') || '_' || CAST(doc_id AS VARCHAR) AS name FROM documents) WHERE {where})", 1)}, {_CREATED},
+filled AS MATERIALIZED (SELECT c.contig_id, k.kmer, coalesce(p, 0) AS p FROM contigs c CROSS JOIN dictionary k LEFT JOIN shares USING (contig_id, kmer)),
+two_way AS (SELECT a, b, dist FROM pairs UNION ALL SELECT b, a, dist FROM pairs),
+first_near AS (SELECT a, arg_min(bin, (dist, b)) AS bin FROM two_way JOIN created ON created.contig_id = b WHERE dist <= 0.175 AND a NOT IN (SELECT contig_id FROM created) GROUP BY a),
+c0 AS MATERIALIZED (
+  SELECT contig_id, CAST(dense_rank() OVER (ORDER BY size DESC, bin) AS INTEGER) AS bin
+  FROM (SELECT contig_id, bin, count(*) OVER (PARTITION BY bin) AS size FROM (SELECT contig_id, bin FROM created UNION ALL SELECT a, bin FROM first_near))),
+{",".join(rounds).strip()},
+sizes AS (SELECT bin, count(*) AS size FROM c5 GROUP BY bin),
+large AS (SELECT CAST(sum(size) AS BIGINT) AS total, coalesce(max(bin) FILTER (size * size > (SELECT sum(size) FROM sizes)), 1) AS last FROM sizes),
+along AS (SELECT bin, sum(size) OVER (ORDER BY bin) AS sums FROM sizes),
+core AS MATERIALIZED (SELECT contig_id, bin FROM c5 WHERE bin <= (SELECT greatest(last, (SELECT min(bin) FROM along WHERE sums * sums >= least(16, total) * total)) FROM large)),
+{_near("core", "selection", "again", 0.175).strip()},
+{_near("again", "contigs", "binned", 0.5).strip()}"""
+
+
+_GRADED = """
+per AS (SELECT bin, max(n) AS correct, CAST(sum(n) AS BIGINT) AS size FROM (SELECT bin, left(contig_id, 2) AS label, count(*) AS n FROM binned GROUP BY ALL) GROUP BY bin),
+graded AS (SELECT count(*) AS n_bins, coalesce(CAST(sum(correct) AS BIGINT), 0) AS correct, coalesce(CAST(sum(size) AS BIGINT), 0) AS assigned, (SELECT count(*) FROM contigs WHERE contig_id NOT IN (SELECT contig_id FROM binned)) AS unassigned FROM per)"""
+_SHARES = "round(CASE WHEN assigned > 0 THEN correct / assigned ELSE 0 END, 6) AS accuracy, unassigned"
+
+
+def _experiments(orgs: tuple[str, ...] = ("de", "en", "es", "fr")) -> str:
+    parts = [
+        f"SELECT * FROM ({_binned(f"left(name, 2) IN ('{x}', '{y}')")}, {_GRADED} SELECT '{x}' AS i, '{y}' AS j, n_bins, correct, assigned, {_SHARES} FROM graded)"
+        for k, x in enumerate(orgs) for y in orgs[k + 1 :]
+    ]
+    return " UNION ALL ".join(parts)
+
+
 _STATS_OF = "count(*) AS n, round(avg(dist), 6) AS mean, round(min(dist), 6) AS min, round(max(dist), 6) AS max"
 
 
@@ -145,22 +243,37 @@ t AS (SELECT CAST(sum(size) AS BIGINT) AS total, coalesce(max(bin) FILTER (size
 grow AS (SELECT large AS last FROM t UNION ALL SELECT last + 1 FROM grow, t WHERE (SELECT sum(size) FROM s WHERE bin <= last) * (SELECT sum(size) FROM s WHERE bin <= last) < least(16, total) * total)
 SELECT bin, size FROM s WHERE bin <= (SELECT max(last) FROM grow)""",
     "chi_squared_pairs": f"WITH {_CHI} SELECT a, b, round(chi, 3) AS chi, round(chi_reverse, 3) AS chi_reverse FROM chi WHERE least(chi, chi_reverse) <= 255",
-    "seed_clusters": f"""WITH RECURSIVE {_CHI},
-both_links AS (SELECT a AS u, b AS v FROM chi WHERE least(chi, chi_reverse) <= 255 UNION SELECT b, a FROM chi WHERE least(chi, chi_reverse) <= 255),
-reach AS (SELECT u AS node, u AS root FROM both_links UNION SELECT v, root FROM reach JOIN both_links ON node = u),
-roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
-degrees AS (SELECT u AS node, count(*) AS degree FROM both_links GROUP BY u),
-comps AS (SELECT root, max(degree) AS top, arg_min(node, (-degree, node)) AS first FROM roots JOIN degrees USING (node) GROUP BY root HAVING count(*) >= 6),
-numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY top DESC, first) AS INTEGER) AS cluster FROM comps)
-SELECT node AS contig_id, cluster FROM roots JOIN numbered USING (root)""",
+    "seed_clusters": f"WITH RECURSIVE {_CHI}, {_SEEDS} SELECT contig_id, cluster FROM seeds",
+    "seed_directions": f"""WITH RECURSIVE {_CHI}, {_SEEDS},
+held AS MATERIALIZED (
+  SELECT contig_id, cluster, d.kmer, d.n, t.n AS turned, first_value(d.n) OVER (PARTITION BY cluster, d.kmer ORDER BY contig_id) AS first
+  FROM seeds JOIN dense d USING (contig_id) JOIN turned t USING (contig_id, kmer)),
+turns AS (
+  SELECT 0 AS turn, contig_id, cluster, {_TURN.format(profile="first")} AS reverse, {_TURN.format(profile="first")} AS changed
+  FROM (SELECT *, sum(first) OVER w AS ta, sum(n) OVER w AS tb FROM held WINDOW w AS (PARTITION BY contig_id)) GROUP BY contig_id, cluster
+  UNION ALL
+  SELECT turn + 1, contig_id, cluster, {_TURN.format(profile="profile")}, {_TURN.format(profile="profile")} <> reverse
+  FROM (
+    SELECT *, sum(profile) OVER w AS ta, sum(n) OVER w AS tb
+    FROM (SELECT turn, reverse, h.*, bool_or(changed) OVER () AS more, sum(CASE WHEN reverse THEN turned ELSE n END) OVER (PARTITION BY h.cluster, kmer) AS profile FROM turns r JOIN held h USING (contig_id))
+    WINDOW w AS (PARTITION BY contig_id))
+  WHERE more GROUP BY turn, contig_id, cluster, reverse)
+SELECT contig_id, cluster, reverse FROM turns WHERE turn = (SELECT max(turn) FROM turns)""",
     "wide_keys": """
 WITH k AS (SELECT event_id, lpad(bin(event_id), 64, '0') || lpad(bin(event_id * 7919 + 13), 64, '0') AS x FROM events)
 SELECT event_id, CAST(xor(CAST(substr(x, 71) || repeat('0', 70) AS BIT), CAST('000' || left(x, 125) AS BIT)) AS VARCHAR) AS mixed_bits,
        lpad(substr(x, 60, 66), 128, '0') AS part_bits, substr(x, 6, 60) = repeat('0', 60) AS no_head, left(x, 127) || '1' AS odd_bits FROM k""",
-    "context_states": f"""{_MODELS}
-SELECT k.cluster, CAST(level AS INTEGER) AS level, k.context, n_a, n_c, n_g, n_t,
-       round(max(w) FILTER (b = 'A'), 6) AS w_a, round(max(w) FILTER (b = 'C'), 6) AS w_c, round(max(w) FILTER (b = 'G'), 6) AS w_g, round(max(w) FILTER (b = 'T'), 6) AS w_t
-FROM kept k JOIN weights w ON w.cluster = k.cluster AND w.context = k.context GROUP BY ALL""",
+    "context_states": f"""{_MODELS},
+names AS (
+  SELECT cluster, code, '' AS context FROM states WHERE level = 0
+  UNION ALL
+  SELECT s.cluster, s.code, context || substr('ACGT', CAST(s.code % 4 AS INTEGER) + 1, 1) FROM names m JOIN states s ON s.cluster = m.cluster AND s.code // 4 = m.code AND s.level > 0)
+SELECT k.cluster, CAST(level AS INTEGER) AS level, context, n_a, n_c, n_g, n_t,
+       round(max(w) FILTER (b = 0), 6) + 0.0 AS w_a, round(max(w) FILTER (b = 1), 6) + 0.0 AS w_c, round(max(w) FILTER (b = 2), 6) + 0.0 AS w_g, round(max(w) FILTER (b = 3), 6) + 0.0 AS w_t
+FROM states k JOIN names m ON m.cluster = k.cluster AND m.code = k.code JOIN weights w ON w.cluster = k.cluster AND w.code = k.code GROUP BY ALL""",
+    "context_levels": f"{_MODELS} SELECT cluster, CAST(level AS INTEGER) AS level, count(*) AS n_states, CAST(sum(n) AS BIGINT) AS support FROM states GROUP BY ALL",
+    "strand_scores": f"{_STRANDS} SELECT contig_id, cluster, backward, round(score, 4) AS score FROM strands",
+    "best_strands": f"{_STRANDS}, b AS (SELECT contig_id, max((score, -cluster, NOT backward)) AS x FROM strands GROUP BY contig_id) SELECT contig_id, -x[2] AS cluster, NOT x[3] AS reverse FROM b",
     "context_scores": f"{_SCORES} SELECT contig_id, cluster, round(score, 4) AS score, round(squares, 4) AS squares FROM scores",
     "look_behind": f"WITH {_CONTIGS}, bases AS (SELECT contig_id, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS pos FROM contigs WHERE seq <> '') , s AS (SELECT b AS base, coalesce(lag(b, 1) OVER w, '') || coalesce(lag(b, 2) OVER w, '') || coalesce(lag(b, 3) OVER w, '') AS context FROM bases WINDOW w AS (PARTITION BY contig_id ORDER BY pos)) SELECT context, base, count(*) AS n FROM s GROUP BY ALL",
     "score_per_base": f"{_SCORES}, {_STATS} SELECT cluster, size, bases, round(mean, 4) AS mean, round(var, 4) AS var FROM stats",
@@ -176,6 +289,9 @@ SELECT mine AS cluster, count(*) AS size, round(avg(own), 4) AS own, round(avg(o
     "score_histogram": f"{_SCORES}, {_STATS} SELECT s.cluster, CAST(greatest(-10, least(10, trunc((score - len * mean) / sqrt(len * var)))) AS INTEGER) AS z, count(*) FILTER (s.cluster = mine) AS members, count(*) FILTER (s.cluster <> mine) AS others FROM scores s JOIN stats t ON t.cluster = s.cluster GROUP BY ALL",
     "score_outliers": f"{_SCORES}, {_STATS} SELECT contig_id, CAST(CASE WHEN (score - len * mean) / sqrt(len * var) < -3 THEN 0 ELSE s.cluster END AS INTEGER) AS cluster FROM scores s JOIN stats t ON t.cluster = s.cluster WHERE s.cluster = mine",
     "fixed_lines": f"{_SCORES} SELECT printf('%-25s%3d%3d%11.2f', left(contig_id, 25), cluster, 0, score) AS value FROM scores WHERE cluster = mine",
+    "distance_binning": f"{_binned()} SELECT contig_id, coalesce(printf('bin_%04d', bin), 'bin_none') AS bin_label FROM contigs LEFT JOIN binned USING (contig_id)",
+    "distance_grade": f"{_binned()}, {_GRADED} SELECT n_bins, correct, assigned, {_SHARES}, round(unassigned / (assigned + unassigned), 6) AS unassigned_share FROM graded",
+    "organism_experiments": _experiments(),
     "dumped_bins": f"WITH {_SOURCES} SELECT contig_id, CASE WHEN bin <= 10 THEN printf('bin_%04d', bin) ELSE 'bin_none' END AS bin_label FROM source_bins",
     "bin_purity": f"WITH {_SOURCES}, {_PURITY} SELECT bin, label, correct, size, round(purity, 6) AS purity FROM purity",
     "bin_labels": f"WITH {_SOURCES}, {_PURITY} SELECT * FROM labels_of",
@@ -193,6 +309,11 @@ SELECT mine AS cluster, count(*) AS size, round(avg(own), 4) AS own, round(avg(o
 m AS (SELECT query, arg_max(pct, line) AS pct, arg_max(match_len, line) AS match_len, arg_max(hit, (bitscore, -line)) AS hit, max(bitscore) AS bitscore FROM matches GROUP BY query)
 SELECT contig_id, pct, match_len, hit, bitscore, CAST(row_number() OVER (ORDER BY pct DESC NULLS LAST, match_len DESC NULLS LAST, bitscore DESC NULLS LAST, contig_id) AS INTEGER) AS place
 FROM classes LEFT JOIN m ON query = contig_id WHERE bin = 1""",
+    "every_bin_details": f"""WITH {_MATCHES}, {_CLASSES},
+m AS (SELECT query, arg_max(pct, line) AS pct, arg_max(match_len, line) AS match_len, arg_max(hit, (bitscore, -line)) AS hit, max(bitscore) AS bitscore FROM matches GROUP BY query)
+SELECT CAST(bin AS INTEGER) AS bin, contig_id, pct, match_len, hit, bitscore,
+       CAST(row_number() OVER (PARTITION BY bin ORDER BY pct DESC NULLS LAST, match_len DESC NULLS LAST, bitscore DESC NULLS LAST, contig_id) AS INTEGER) AS place
+FROM classes LEFT JOIN m ON query = contig_id""",
     "organism_pairs": "SELECT CAST(a.n_nationkey AS INTEGER) AS i, CAST(b.n_nationkey AS INTEGER) AS j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "compared_runs": "WITH d AS (SELECT CAST(floor(o_totalprice / 100) - floor(o_totalprice / 110) AS DOUBLE) AS d FROM orders) SELECT count(*) AS n, round(avg(d), 6) AS mean, max(d) AS max, min(d) AS min FROM d",
 }

@@ -6,7 +6,11 @@ turn's table, so plans stay short and a lost executor repeats one step.
 
 from __future__ import annotations
 
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ from ..functions.sequences import K, oriented, pseudo_sequence
 from ..operators import bins as B
 from ..operators import clusters as C
 from ..operators.distances import chi_squared, variation_pairs
-from ..operators.grading import length_thresholds
+from ..operators.grading import grade, length_thresholds
 from ..operators.kmers import _reverse_number, profiles, shares
 from ..scratch import Scratch, interpreted
 
@@ -37,7 +41,7 @@ class DistanceSettings:
 
 @dataclass(frozen=True)
 class ModelSettings:
-    """Fixed values of the defaults; max_turns guards loops that need not end."""
+    """Fixed values of the defaults."""
 
     min_len: int = 3000
     min_members: int = 6
@@ -49,7 +53,6 @@ class ModelSettings:
     tolerance: float = 0.0
     skip_removal: bool = False
     support: int = 50
-    max_turns: int = 50
 
 
 def contigs_of(documents: DataFrame, unknown: bool = False) -> DataFrame:
@@ -64,20 +67,16 @@ def spread(contigs: DataFrame) -> DataFrame:
     return contigs.repartition(n, "contig_id")
 
 
-#: Contigs up to which the loops run interpreted plans: their work on sequences is in numpy either way.
-SMALL_CONTIGS = 1_000_000
-
-
 def by_distance(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings = DistanceSettings()) -> tuple[DataFrame, DataFrame]:
     """(contig_id, bin) and (contig_id) unbinned, of contigs (contig_id, seq, len)."""
-    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+    with interpreted(spark):
         return _by_distance(spark, contigs, settings)
 
 
 def _by_distance(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "distance")
     own = scratch.write(profiles(spread(contigs), settings.k).select("contig_id", shares("counts").alias("p")), "shares")
-    lens = contigs.select("contig_id", "len")
+    lens = scratch.write(contigs.select("contig_id", "len"), "lens")
     selection = scratch.write(B.percentile_selection(lens, settings.low, settings.high), "selection")
     chosen = own.join(F.broadcast(selection.select("contig_id")), "contig_id", "left_semi") if selection.count() <= 200_000 else own.join(selection, "contig_id", "left_semi")
     pairs = scratch.write(variation_pairs(chosen.select("contig_id", "p"), max(settings.creation, settings.selection), True), "pairs")
@@ -91,7 +90,27 @@ def _by_distance(spark: SparkSession, contigs: DataFrame, settings: DistanceSett
     return near, lens.select("contig_id").join(near, "contig_id", "left_anti")
 
 
-def directions(scratch: Scratch, contigs: DataFrame, seeds: DataFrame, max_turns: int = 50) -> DataFrame:
+class Turns:
+    """The states that a loop has been in, as digests of their rows.
+
+    A turn depends on the state alone, so a state that comes again would come
+    again for ever: the loop ends there, with a warning, in that state.
+    """
+
+    def __init__(self, what: str, *columns: str):
+        self.what, self.columns, self.seen = what, columns, set()
+
+    def again(self, state: DataFrame) -> bool:
+        row = lambda seed: F.xxhash64(F.lit(seed), *self.columns)
+        mark = tuple(state.agg(F.bit_xor(row(1)), F.bit_xor(row(2)), F.count("*")).first())
+        if mark in self.seen:
+            warnings.warn(f"{self.what} come again after {len(self.seen)} turns without a fixpoint", stacklevel=2)
+            return True
+        self.seen.add(mark)
+        return False
+
+
+def directions(scratch: Scratch, contigs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(contig_id, cluster, reverse): strands under which members agree best with their cluster's profile, to a fixpoint.
 
     The first reference is the member with the smallest pos, then the sum.
@@ -113,17 +132,17 @@ def directions(scratch: Scratch, contigs: DataFrame, seeds: DataFrame, max_turns
                 out.append(bool(chi_squared(np.array(profile, float), x[:, order])[0] < chi_squared(np.array(profile, float), x)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["contig_id", "cluster", "reverse"])
 
-    for turn in range(max_turns):
+    turns = Turns("strands of seeds", "contig_id", "cluster", "reverse")
+    for turn in count():
         new = rows.join(F.broadcast(reference), "cluster").select("contig_id", "cluster", "counts", "profile").mapInArrow(turned, f"contig_id {kind}, cluster int, reverse boolean")
         new = scratch.write(new, f"directions-{turn}")
-        if new.join(state.withColumnRenamed("reverse", "old"), ["contig_id", "cluster"]).where("reverse <> old").isEmpty():
+        if new.join(state.withColumnRenamed("reverse", "old"), ["contig_id", "cluster"]).where("reverse <> old").isEmpty() or turns.again(new):
             return new
         state = new
         long_ = rows.join(new, ["contig_id", "cluster"]).select("cluster", "reverse", F.posexplode("counts").alias("i", "n"))
         flip = F.get(F.array(*[F.lit(x) for x in order]), F.col("i"))
         sums = long_.withColumn("i", F.when(F.col("reverse"), flip).otherwise(F.col("i"))).groupBy("cluster", "i").agg(F.sum("n").alias("n"))
         reference = scratch.write(sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("profile")), f"references-{turn}")
-    return state
 
 
 def seeded(spark: SparkSession, scratch: Scratch, contigs: DataFrame, settings: ModelSettings = ModelSettings()) -> tuple[DataFrame, int]:
@@ -147,23 +166,22 @@ def positioned(scratch: Scratch, contigs: DataFrame) -> DataFrame:
 
 def settled(spark: SparkSession, scratch: Scratch, state: DataFrame, n: int, settings: ModelSettings, tag: str) -> DataFrame:
     """state after turns of models and best strands until no active contig moves."""
-    for turn in range(settings.max_turns):
+    turns = Turns("assignments", "contig_id", "cluster", "reverse")
+    for turn in count():
         state = scratch.write(C.dissolved(state, 0, n), f"{tag}-in-{turn}")
         found = C.compared(spark, scratch, state, f"{tag}-scores-{turn}", 0, True, settings.support)
         if found.isEmpty():
             return state  # no cluster is left to move to
         new = scratch.write(C.best_orientations(state, found), f"{tag}-out-{turn}")
         moved = new.join(state.select("contig_id", F.col("cluster").alias("c"), F.col("reverse").alias("r")), "contig_id").where("active and (cluster <> c or reverse <> r)")
-        done = moved.isEmpty()
+        if moved.isEmpty() or turns.again(new):
+            return new
         state = new
-        if done:
-            break
-    return state
 
 
 def by_models(spark: SparkSession, contigs: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
     """The final state (contig_id, len, cluster, reverse, active) of model binning."""
-    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+    with interpreted(spark):
         return _by_models(spark, contigs, settings)
 
 
@@ -189,7 +207,7 @@ def by_both(spark: SparkSession, contigs: DataFrame, distance: DistanceSettings
     ``contigs`` may have ``reverse``. Models learn the read direction; scores
     are taken of the sequence as it is stored.
     """
-    with interpreted(spark, contigs.count() <= SMALL_CONTIGS):
+    with interpreted(spark):
         return _by_both(spark, contigs, distance, settings)
 
 
@@ -221,15 +239,17 @@ def _by_both(spark: SparkSession, contigs: DataFrame, distance: DistanceSettings
     return state.drop("seq")
 
 
-def all_pairs(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings = DistanceSettings(), prefix: int = 2) -> DataFrame:
-    """(i, j, correct, assigned, accuracy, unassigned): each pair of organisms (label prefixes) binned on its own."""
-    from ..operators.grading import grade
+def all_pairs(spark: SparkSession, contigs: DataFrame, settings: DistanceSettings = DistanceSettings(), prefix: int = 2, workers: int = 4) -> DataFrame:
+    """(i, j, n_bins, correct, assigned, accuracy, unassigned): each pair of organisms (label prefixes) binned on its own, ``workers`` at a time."""
+    scratch, org = Scratch(spark, "experiments"), F.substring("contig_id", 1, prefix)
+    orgs = [r["org"] for r in contigs.select(org.alias("org")).distinct().orderBy("org").collect()]
+
+    def one(pair: tuple[str, str]) -> DataFrame:
+        row = grade(*by_distance(spark, contigs.where(org.isin(*pair)), settings), prefix)
+        row = row.select(F.lit(pair[0]).alias("i"), F.lit(pair[1]).alias("j"), "n_bins", "correct", "assigned", "accuracy", "unassigned")
+        return scratch.write(row, f"pair-{orgs.index(pair[0])}-{orgs.index(pair[1])}")
 
-    orgs = [r["org"] for r in contigs.select(F.substring("contig_id", 1, prefix).alias("org")).distinct().orderBy("org").collect()]
-    out = None
-    for x in range(len(orgs)):
-        for y in range(x + 1, len(orgs)):
-            both = contigs.where(F.substring("contig_id", 1, prefix).isin(orgs[x], orgs[y]))
-            row = grade(*by_distance(spark, both, settings), prefix).select(F.lit(orgs[x]).alias("i"), F.lit(orgs[y]).alias("j"), "n_bins", "correct", "assigned", "accuracy", "unassigned")
-            out = row if out is None else out.unionByName(row)
-    return out
+    with ThreadPoolExecutor(workers) as pool:
+        rows = list(pool.map(one, combinations(orgs, 2)))
+    kinds = "i string, j string, n_bins long, correct long, assigned long, accuracy double, unassigned long"
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], kinds)

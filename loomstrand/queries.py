@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +19,6 @@ from .plans import binnings as P
 from .scratch import Scratch
 from .sources import fasta, sinks, tables
 
-#: Longest context and support of the models in the queries that have SQL.
-DEPTH, SUPPORT = 2, 50
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,22 +35,22 @@ def _orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, without a negative zero."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
-    """Scratch, the length selection, its shares and all its pairs."""
+def _selected(spark: SparkSession, sf_dir: str, below: float | None = None) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """Scratch, the length selection, its shares and its pairs, all or those under ``below``."""
     scratch = Scratch(spark, "query")
     contigs = scratch.write(P.spread(_contigs(spark, sf_dir)), "contigs")
     selection = scratch.write(B.percentile_selection(contigs), "selection")
     own = M.profiles(contigs.join(selection.select("contig_id"), "contig_id", "left_semi")).select("contig_id", M.shares("counts").alias("p"))
     own = scratch.write(own, "shares")
-    return scratch, selection, own, D.variation_pairs(own)
+    return scratch, selection, own, D.variation_pairs(own, below)
 
 
 def pair_counts(spark, sf_dir):
-    _, _, _, pairs = _selected(spark, sf_dir)
-    close = pairs.where("dist < 0.1")
+    _, _, _, close = _selected(spark, sf_dir, 0.1)
     labels = [S.organism("a"), S.organism("b")]
     return close.groupBy(F.least(*labels).alias("org"), F.greatest(*labels).alias("other")).agg(F.count("*").alias("n_pairs"))
 
@@ -168,8 +164,8 @@ def share_below_cross(spark, sf_dir):
 
 
 def created_bins(spark, sf_dir):
-    scratch, selection, _, pairs = _selected(spark, sf_dir)
-    return B.created(scratch, selection, pairs.where("dist < 0.1").select("a", "b"))
+    scratch, selection, _, close = _selected(spark, sf_dir, 0.1)
+    return B.created(scratch, selection, close.select("a", "b"))
 
 
 def nearest_bins(spark, sf_dir):
@@ -249,29 +245,33 @@ def _state(spark, sf_dir) -> DataFrame:
     return contigs.join(_language_bins(contigs), "contig_id").select("contig_id", "seq", "len", F.col("bin").alias("cluster"), F.lit(False).alias("reverse"), F.lit(True).alias("active"))
 
 
-def _models(spark, sf_dir, depth):
+def _models(spark, sf_dir):
     state = Scratch(spark, "state").write(_state(spark, sf_dir), "state")
-    return state, X.trained(spark, state.select("contig_id", "seq", "reverse", "cluster"), SUPPORT, depth)
+    return state, X.trained(spark, state.select("contig_id", "seq", "reverse", "cluster"))
 
 
-def _found(spark, sf_dir, depth) -> tuple[DataFrame, DataFrame]:
-    state, models = _models(spark, sf_dir, depth)
+def _found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    state, models = _models(spark, sf_dir)
     return state, Scratch(spark, "found").write(X.scores(spark, state, models), "found")
 
 
-def context_states(spark, sf_dir, depth=DEPTH):
-    _, models = _models(spark, sf_dir, depth)
+def context_states(spark, sf_dir):
+    _, models = _models(spark, sf_dir)
     return _round(X.states(spark, models))
 
 
-def full_context_states(spark, sf_dir):
-    state = Scratch(spark, "state").write(_state(spark, sf_dir), "state")
-    models = X.trained(spark, state.select("contig_id", "seq", "reverse", "cluster"))
+def context_levels(spark, sf_dir):
+    _, models = _models(spark, sf_dir)
     return X.states(spark, models).groupBy("cluster", "level").agg(F.count("*").alias("n_states"), F.sum(F.expr("n_a + n_c + n_g + n_t")).alias("support"))
 
 
-def context_scores(spark, sf_dir, depth=DEPTH):
-    return _round(_found(spark, sf_dir, depth)[1].select("contig_id", "cluster", "score", "squares"), 4)
+def context_scores(spark, sf_dir):
+    return _round(_found(spark, sf_dir)[1].select("contig_id", "cluster", "score", "squares"), 4)
+
+
+def strand_scores(spark, sf_dir):
+    state, models = _models(spark, sf_dir)
+    return _round(X.scores(spark, state, models, both=True).select("contig_id", "cluster", "backward", "score"), 4)
 
 
 def look_behind(spark, sf_dir):
@@ -279,52 +279,59 @@ def look_behind(spark, sf_dir):
     return rows.groupBy("context", "base").agg(F.count("*").alias("n"))
 
 
-def score_per_base(spark, sf_dir, depth=DEPTH):
-    return _round(C.per_base(*_found(spark, sf_dir, depth)), 4)
+def score_per_base(spark, sf_dir):
+    return _round(C.per_base(*_found(spark, sf_dir)), 4)
 
 
-def cluster_weakness(spark, sf_dir, depth=DEPTH):
-    return _round(C.weakness(*_found(spark, sf_dir, depth)), 4)
+def cluster_weakness(spark, sf_dir):
+    return _round(C.weakness(*_found(spark, sf_dir)), 4)
 
 
-def reassignment(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def reassignment(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return C.reassigned(state, found).select("contig_id", "cluster")
 
 
-def reassignment_counts(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def reassignment_counts(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return C.movement(state, C.reassigned(state, found), found)
 
 
-def score_totals(spark, sf_dir, depth=DEPTH):
-    return _round(C.score_totals(_found(spark, sf_dir, depth)[1]), 2)
+def best_strands(spark, sf_dir):
+    """One step of the model binning: each contig to its best cluster and strand."""
+    state, models = _models(spark, sf_dir)
+    found = Scratch(spark, "found").write(X.scores(spark, state, models, both=True), "found")
+    return C.best_orientations(state, found).select("contig_id", "cluster", "reverse")
+
+
+def score_totals(spark, sf_dir):
+    return _round(C.score_totals(_found(spark, sf_dir)[1]), 2)
 
 
-def log_likelihood(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def log_likelihood(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return _round(spark.createDataFrame([(C.log_likelihood(state, found),)], "log_likelihood double"), 4)
 
 
-def cull_candidate(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def cull_candidate(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     n = state.agg(F.max("cluster").alias("n")).first()["n"] or 0
     worst, score = C.replaceable(state, found, n)
     return _round(spark.createDataFrame([(worst, score)], "cluster int, score double"), 2)
 
 
-def score_histogram(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def score_histogram(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return G.score_histogram(state, found, C.per_base(state, found))
 
 
-def score_outliers(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def score_outliers(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return G.outliers(state, found, C.per_base(state, found)).select("contig_id", "cluster")
 
 
-def fixed_lines(spark, sf_dir, depth=DEPTH):
-    state, found = _found(spark, sf_dir, depth)
+def fixed_lines(spark, sf_dir):
+    state, found = _found(spark, sf_dir)
     return sinks.fixed_lines(state.join(found.select("contig_id", "cluster", "score"), ["contig_id", "cluster"]))
 
 
@@ -446,13 +453,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_counts, fasta_scan, two_column_scan, peptide_orientation, normalised_contigs, tagged_contigs, kept_and_skipped, kmer_counts, kmer_shares, kmer_profiles, kmer_dictionary,
         sequence_round_trips, wide_keys, key_ranks, length_selection, length_probe, length_stats, length_thresholds, variation_pairs, sparse_variation_pairs, distance_stats, organism_stats,
         share_below_cross, created_bins, nearest_bins, bin_medians, merge_links, nearest_median, reduced_bins, distance_binning, distance_grade, organism_experiments, chi_squared_pairs,
-        seed_clusters, seed_directions, context_states, full_context_states, context_scores, look_behind, score_per_base, cluster_weakness, reassignment, reassignment_counts, score_totals,
+        seed_clusters, seed_directions, context_states, context_levels, context_scores, strand_scores, look_behind, score_per_base, cluster_weakness, reassignment, reassignment_counts, best_strands, score_totals,
         log_likelihood, cull_candidate, score_histogram, score_outliers, fixed_lines, model_binning, refined_binning, dumped_bins, bin_purity, bin_labels, bin_grade, top_bins, all_pure,
         token_stream, best_identity, best_hit, last_match, taxon_classes, match_grade, best_bin, bin_details, every_bin_details, organism_pairs, compared_runs,
     )
 }
-#: The queries above whose SQL counts to DEPTH, at the operator's own depth; these have no SQL.
-FULL = (
-    context_states, context_scores, score_per_base, cluster_weakness, reassignment, reassignment_counts, score_totals, log_likelihood, cull_candidate, score_histogram, score_outliers, fixed_lines,
-)
-QUERIES |= {("full_models" if f is context_states else f"full_{f.__name__}"): partial(f, depth=X.DEPTH) for f in FULL}

@@ -7,6 +7,7 @@ import contextlib
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +36,34 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-@contextlib.contextmanager
-def interpreted(spark: SparkSession, small: bool):
-    """Plans started in this block run without whole-stage code if their tables are ``small``.
+_HELD: dict[str, list] = {}
+_LOCK = threading.Lock()
 
-    Loops over small tables start many different plans; compiling each costs
-    more time and native memory of the executors than it saves. Large tables
-    keep compiled code.
-    """
-    name = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(name)
-    if small:
-        spark.conf.set(name, "false")
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value):
+    """The session's ``name`` is ``value`` in this block; blocks of several threads may overlap."""
+    with _LOCK:
+        held = _HELD.setdefault(name, [0, spark.conf.get(name)])
+        held[0] += 1
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(name, _HELD.pop(name)[1])
+
+
+def interpreted(spark: SparkSession):
+    """Plans started in this block run without whole-stage code.
+
+    For loops that start many different plans over tables of clusters, bins and
+    links, with all work on sequences in numpy: compiling each plan costs more
+    time and native memory of the executors than it saves.
+    """
+    return setting(spark, "spark.sql.codegen.wholeStage", "false")
 
 
 class Scratch:
@@ -72,13 +85,10 @@ class Scratch:
         """Store ``df``, if it is known to be ``small`` in FEW files. Rows go to
         Python workers BATCH_ROWS at a time, as some are long."""
         df = df.coalesce(FEW) if small else df
-        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(name)
-        conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-        try:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        most = int(self.spark.conf.get(name))
+        with setting(self.spark, name, min(most, BATCH_ROWS) if most > 0 else BATCH_ROWS):
             return self._written(df, tag, *partition)
-        finally:
-            conf.set(name, before)
 
     def _written(self, df: DataFrame, tag: str, *partition: str) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")

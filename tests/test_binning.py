@@ -180,7 +180,7 @@ def test_context_scores(spark):
             assert x["score"] == pytest.approx(walked(train[x["cluster"]], by_name[x["contig_id"]], 20, depth), abs=1e-6), (depth, x)
 
 
-def test_full_queries_use_the_whole_depth(spark, tmp_path):
+def test_queries_use_the_whole_depth(spark, tmp_path):
     """Against brute force at depth 40, on few documents with contexts beyond that; the others follow from the scores."""
     r = random.Random(4)
     unit = "".join(r.choices("acgt", k=60))
@@ -188,13 +188,11 @@ def test_full_queries_use_the_whole_depth(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     contigs = {x["contig_id"]: x["seq"] for x in Q._contigs(spark, str(tmp_path)).collect()}
     train = {k: [s for n, s in contigs.items() if n.startswith(lang)] for k, lang in ((1, "en"), (2, "fr"))}
-    found = {(x["contig_id"], x["cluster"]): x["score"] for x in Q.QUERIES["full_context_scores"](spark, str(tmp_path)).collect()}
+    found = {(x["contig_id"], x["cluster"]): x["score"] for x in Q.QUERIES["context_scores"](spark, str(tmp_path)).collect()}
     assert len(found) == 32
     for name, cluster in (("en_0", 1), ("en_3", 2), ("fr_15", 1), ("fr_15", 2)):
         assert found[name, cluster] == pytest.approx(walked(train[cluster], contigs[name], 50, 40), abs=1e-3)
-    assert Q.QUERIES["full_models"](spark, str(tmp_path)).agg({"level": "max"}).first()[0] == 40
-    for f in Q.FULL[2:]:
-        Q.QUERIES[f"full_{f.__name__}"](spark, str(tmp_path)).collect()
+    assert Q.QUERIES["context_states"](spark, str(tmp_path)).agg({"level": "max"}).first()[0] == 40
 
 
 def test_no_supported_state_is_dropped(spark):
@@ -268,7 +266,7 @@ def test_model_binning_parts_two_kinds(spark):
     kinds = {"AA": [6, 1, 1, 2], "BB": [1, 4, 5, 1]}
     rows = [(f"{k}{i}", s := "".join(r.choices("ACGT", w, k=r.randrange(600, 900))), len(s)) for k, w in kinds.items() for i in range(8)]
     contigs = spark.createDataFrame(rows, "contig_id string, seq string, len int")
-    settings = P.ModelSettings(min_len=500, min_members=3, thresholds=(500, 1), max_turns=6)
+    settings = P.ModelSettings(min_len=500, min_members=3, thresholds=(500, 1))
     state = P.by_models(spark, contigs, settings)
     groups: dict[int, set] = {}
     for x in state.collect():
@@ -276,6 +274,176 @@ def test_model_binning_parts_two_kinds(spark):
     assert all(len(g) == 1 for g in groups.values()), groups
 
 
+class Simulated:
+    """Models of clusters as dictionaries of contexts, and the steps of both model binnings over plain lists.
+
+    A contig is [name, seq, cluster, reverse, active].
+    """
+
+    def __init__(self, rows, none, support):
+        self.rows, self.none, self.support = rows, none, support
+
+    @staticmethod
+    def turned(seq):
+        return seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    def dissolve(self, n=None):
+        size = Counter(r[2] for r in self.rows if r[4])
+        for r in self.rows:
+            if size[r[2]] < 3 or (n is not None and r[2] > n):
+                r[2] = self.none
+
+    def models(self, depth=40):
+        out = {}
+        for k in sorted({r[2] for r in self.rows if r[4]} - {self.none}):
+            counts = {}
+            for _, seq, _, reverse, _ in (r for r in self.rows if r[4] and r[2] == k):
+                s = self.turned(seq) if reverse else seq
+                for i, b in enumerate(s):
+                    for n in range(min(i, depth) + 1):
+                        counts.setdefault(s[i - n : i][::-1], Counter())[b] += 1
+            kept = {c: x for c, x in counts.items() if not c or x.total() > self.support}
+            p = {}
+            for c in sorted(kept, key=len):
+                total = kept[c].total()
+                above = p[c[:-1]] if c else dict.fromkeys("ACGT", 0.25)
+                p[c] = {b: (1 - 1 / total) * kept[c][b] / total + above[b] / total for b in "ACGT"}
+            out[k] = p
+        return out
+
+    @staticmethod
+    def score(p, s):
+        out = 0.0
+        for i, b in enumerate(s):
+            n = 0
+            while n < min(i, 40) and s[i - n - 1 : i][::-1] in p:
+                n += 1
+            out += np.log2(4 * max(1 / 64, p[s[i - n : i][::-1]][b]))
+            if b not in p:
+                break
+        return out
+
+    def scores(self, both):
+        models = self.models()
+        return {r[0]: {(k, way): self.score(p, self.turned(r[1]) if way else r[1]) for k, p in models.items() for way in ((False, True) if both else (False,))} for r in self.rows if r[4]}
+
+    def settle(self, n):
+        while True:
+            self.dissolve(n)
+            found, moved = self.scores(True), False
+            if not any(found.values()):
+                return
+            for r in self.rows:
+                if r[4]:
+                    k, way = max(found[r[0]], key=lambda x: (found[r[0]][x], -x[0], not x[1]))
+                    moved |= (k, way) != (r[2], r[3])
+                    r[2:4] = k, way
+            if not moved:
+                return
+
+    def by_models(self, n, thresholds, least_next=0.0):
+        for least in thresholds:
+            for r in self.rows:
+                r[4] |= len(r[1]) >= least
+            self.settle(n)
+            for _ in range(n):
+                self.dissolve(n)
+                found = self.scores(True)
+                elsewhere = {}
+                for r in self.rows:
+                    if r[4] and 1 <= r[2] <= n:
+                        elsewhere.setdefault(r[2], []).append(max((x for (k, _), x in found[r[0]].items() if k != r[2]), default=-np.inf))
+                worst, score = max(((k, np.mean(x)) for k, x in elsewhere.items()), key=lambda x: (x[1], -x[0]), default=(1, -np.inf))
+                if score < least_next:
+                    break
+                for r in self.rows:
+                    r[2] = 0 if r[2] == worst else r[2]
+                self.settle(n)
+
+    def reassign(self, found, without=None):
+        for r in self.rows:
+            if r[4]:
+                best = max(((x, -k) for (k, _), x in found[r[0]].items() if k != without), default=(0, 0))
+                r[2] = -best[1] if best[0] > 0 else -1
+
+    def likelihood(self, found):
+        own = [(found[r[0]][r[2], False], len(r[1])) for r in self.rows if r[4] and r[2] != -1]
+        return sum(x for x, _ in own) / sum(n for _, n in own) if own else -np.inf
+
+    def weakness(self, found):
+        out = []
+        for k in sorted({r[2] for r in self.rows if r[4]} - {-1}):
+            own = [(found[r[0]][k, False], max([x for (j, _), x in found[r[0]].items() if j != k], default=-np.inf), len(r[1])) for r in self.rows if r[4] and r[2] == k]
+            norm = [a / n for a, _, n in own]
+            out.append({"cluster": k, "mean_norm": np.mean(norm), "cv": np.std(norm) / np.mean(norm) if len(norm) > 1 and np.mean(norm) else 0.0, "absorbability": np.mean([b for _, b, _ in own]) / max(np.mean([a for a, _, _ in own]), 1.0)})
+        return out
+
+    def refine(self, n, thresholds):
+        def scored():
+            self.dissolve()
+            return self.scores(False)
+
+        for least in thresholds:
+            for r in self.rows:
+                r[4] |= len(r[1]) >= least
+            found = scored()
+            self.reassign(found)
+            found = scored()
+            for _ in range(max(n, 1)):
+                worst = C.weakest(self.weakness(found), n, 0.7, 2.0)
+                if worst == -1:
+                    break
+                before, kept = self.likelihood(found), [list(r) for r in self.rows]
+                self.reassign(found, worst)
+                new = scored()
+                if self.likelihood(new) < before:
+                    self.rows = kept
+                    break
+                found = new
+
+
+def kinds_of_contigs(seed, sizes, low, high):
+    r = random.Random(seed)
+    kinds = {"AA": [6, 1, 1, 2], "BB": [1, 4, 5, 1], "CC": [2, 3, 1, 4]}
+    return [(f"{k}{i:02d}", "".join(r.choices("ACGT", w, k=r.randrange(low, high)))) for (k, w), n in zip(kinds.items(), sizes, strict=False) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_model_binning_same_as_simulated(spark, seed):
+    rows = kinds_of_contigs(seed, (9, 8, 7), 300, 700)
+    contigs = spark.createDataFrame([(n, s if i % 3 else Simulated.turned(s), len(s)) for i, (n, s) in enumerate(rows)], "contig_id string, seq string, len int")
+    settings = P.ModelSettings(min_len=400, min_members=3, thresholds=(450, 1), support=20)
+    state, n = P.seeded(spark, Scratch(spark, "test"), contigs, settings)
+    start = [[x["contig_id"], x["seq"], x["cluster"], x["reverse"], False] for x in state.collect()]
+    assert n > 1
+    plain = Simulated(start, 0, 20)
+    plain.by_models(n, settings.thresholds)
+    got = {x["contig_id"]: (x["cluster"], x["reverse"], x["active"]) for x in P.by_models(spark, contigs, settings).collect()}
+    assert got == {r[0]: tuple(r[2:]) for r in plain.rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refined_binning_same_as_simulated(spark, seed):
+    rows = kinds_of_contigs(seed, (24, 20, 16), 200, 500)
+    contigs = spark.createDataFrame([(n, s, len(s)) for n, s in rows], "contig_id string, seq string, len int")
+    distance, settings = P.DistanceSettings(low=40, high=95, creation=0.3, selection=0.35, final=0.35), P.ModelSettings(support=20)
+    bins, _ = P.by_distance(spark, contigs, distance)
+    of = {x["contig_id"]: x["bin"] - 1 for x in bins.collect()}
+    assert len(set(of.values())) > 1
+    plain = Simulated([[n, s, of.get(n, -1), False, n in of] for n, s in rows], -1, 20)
+    plain.refine(max(of.values()) + 1, G.length_thresholds(contigs))
+    got = {x["contig_id"]: (x["cluster"], x["active"]) for x in P.by_both(spark, contigs, distance, settings).collect()}
+    assert got == {r[0]: (r[2], r[4]) for r in plain.rows}
+
+
+def test_loops_end_when_states_come_again(spark):
+    turns = P.Turns("rows", "x")
+    state = lambda *x: spark.createDataFrame([(v,) for v in x], "x int")
+    assert not turns.again(state(1, 2)) and not turns.again(state(1, 3))
+    with pytest.warns(UserWarning, match="come again after 2 turns"):
+        assert turns.again(state(2, 1))
+
+
 def test_stream(spark, tmp_path, small):
     from loomstrand.operators.kmers import profiles, shares
     from loomstrand.streaming.assign import assigned_stream
