@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,10 @@ def prefix_mask(levels: int, width: int = 3, slots: int = 41) -> Column:
     value = ((1 << (levels * width)) - 1) << ((slots - levels) * width)
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     return make(signed(value >> 64), signed(value & ((1 << 64) - 1)))
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, key: str = "key", place: str = "place") -> DataFrame:
+    """rows with the place that ``keys`` (key, place), each key once, has for their key; -1 for a key that it lacks."""
+    side = keys.select(F.col(key)["hi"].alias("key_hi"), F.col(key)["lo"].alias("key_lo"), F.col(place))
+    found = rows.join(side, (rows[key]["hi"] == side["key_hi"]) & (rows[key]["lo"] == side["key_lo"]), "left")
+    return found.select(*[rows[c] for c in rows.columns], F.coalesce(side[place], F.lit(-1)).alias(place))

@@ -38,6 +38,11 @@ def ordered(members: DataFrame, first: str) -> DataFrame:
     return members.join(sized(sizes.withColumn("bin", number).select("grp", "bin")), "grp").select("contig_id", "bin")
 
 
+def touched(bins: DataFrame, members: DataFrame) -> DataFrame:
+    """(bin) of the bins that hold any of the members (contig_id)."""
+    return bins.join(members.select("contig_id"), "contig_id", "left_semi").select("bin").distinct()
+
+
 def created(scratch: Scratch, selection: DataFrame, close: DataFrame) -> DataFrame:
     """Components of the close pairs (a, b) of two and more, as (contig_id, bin); ties go by selection rank."""
     ranks = selection.select("contig_id", "rank")

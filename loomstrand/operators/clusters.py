@@ -14,6 +14,8 @@ from .kmers import profiles
 
 #: A cluster of fewer active members is dissolved; models under this mean are bad. Fixed values.
 LEAST_MEMBERS, BAD_MODEL = 3, 0.01
+#: Positions numbered by one task.
+PLACES = 1_000_000
 
 
 def activated(state: DataFrame, least: float) -> DataFrame:
@@ -31,6 +33,24 @@ def dissolved(state: DataFrame, none: int, n_clusters: int | None = None) -> Dat
     return state.join(F.broadcast(small), "cluster", "left").withColumn("cluster", F.when(gone, F.lit(none)).otherwise(F.col("cluster"))).drop("small").select(state.columns)
 
 
+def mapped_back(contigs: DataFrame, clusters: DataFrame, none: int = -1) -> DataFrame:
+    """contigs with the cluster that (contig_id, cluster) has for them, ``none`` where it has none; an id that no contig has is an error."""
+    known = clusters.select("contig_id", "cluster").join(contigs.select("contig_id", F.lit(True).alias("known")), "contig_id", "left")
+    name = F.when(F.col("known"), F.col("contig_id")).otherwise(F.raise_error(F.concat(F.lit("no such contig: "), "contig_id")))
+    return contigs.join(known.select(name.alias("contig_id"), "cluster"), "contig_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(none)))
+
+
+def placed_back(contigs: DataFrame, clusters: DataFrame, least_len: int, none: int = 0) -> DataFrame:
+    """contigs (contig_id, len, pos) with the clusters of (place, cluster), where place counts from 0 the
+    contigs of ``least_len`` and longer in order of pos; the others, and places without a cluster, get ``none``."""
+    long_ = contigs.where(F.col("len") >= least_len).select("contig_id", "pos", F.floor(F.col("pos") / PLACES).alias("part"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = long_.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before).select("part", "before")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("pos")) - 1
+    found = long_.join(parts, "part").select("contig_id", place.alias("place")).join(clusters, "place").select("contig_id", "cluster")
+    return contigs.join(found, "contig_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(none)))
+
+
 def compared(spark: SparkSession, scratch: Scratch, state: DataFrame, tag: str, none: int, both: bool, support: int = SUPPORT) -> DataFrame:
     """Stored scores of all active contigs under the model of each cluster."""
     members = state.where(F.col("active") & (F.col("cluster") != none))

@@ -205,6 +205,12 @@ ORACLE_SQL = {
     "pair_counts": f"{_ALL} SELECT least(left(a, 2), left(b, 2)) AS org, greatest(left(a, 2), left(b, 2)) AS other, count(*) AS n_pairs FROM pairs WHERE dist < 0.1 GROUP BY ALL",
     "fasta_scan": f"WITH {_CONTIGS} SELECT contig_id, CAST(len(seq) AS INTEGER) AS len, md5(seq) AS seq_md5 FROM contigs WHERE seq <> ''",
     "two_column_scan": f"WITH {_CONTIGS} SELECT contig_id, md5(seq) AS seq_md5 FROM contigs WHERE seq <> ''",
+    "encoded_scan": f"WITH {_UNKNOWN} SELECT contig_id, md5(seq) AS seq_md5 FROM contigs WHERE seq <> '' UNION ALL SELECT contig_id, md5(reverse(seq)) FROM contigs WHERE seq <> ''",
+    "old_fasta_scan": f"WITH {_CONTIGS} SELECT left('a_name_of_many_letters_' || contig_id, 25) AS contig_id, md5(seq) AS seq_md5 FROM contigs WHERE seq <> ''",
+    "fixed_hit_scan": "SELECT 'p' || p_partkey AS contig_id, CAST(printf('%.2f', p_partkey / 7) AS DOUBLE) AS pct FROM part",
+    "restart_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, CAST(p_partkey % 40 AS INTEGER) AS cluster, CAST(p_partkey % 2 AS INTEGER) AS direction FROM part",
+    "file_catalog": f"WITH {_CONTIGS}, o AS (SELECT DISTINCT left(contig_id, 2) AS org FROM contigs) SELECT CAST(row_number() OVER (ORDER BY org) - 1 AS INTEGER) AS org, 'org=' || org AS file, left('org=' || org, 7) AS prefix FROM o",
+    "united_organisms": f"WITH {_CONTIGS} SELECT contig_id, md5(CASE WHEN left(contig_id, 2) = 'en' THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END) AS seq_md5 FROM contigs",
     "peptide_orientation": "SELECT 'c' || doc_id % 40 AS contig_id, arg_max(doc_id % 3 = 0, (n_chars % 200, doc_id)) AS forward FROM documents GROUP BY ALL",
     "normalised_contigs": f"WITH {_CONTIGS}, {_ORIENTATION} SELECT 'x_' || contig_id AS contig_id, md5(CASE WHEN forward THEN seq ELSE translate(reverse(seq), 'ACGT', 'TGCA') END) AS seq_md5 FROM contigs JOIN orientation USING (contig_id)",
     "tagged_contigs": f"WITH {_UNKNOWN}, {_ORIENTATION} SELECT 'x_' || contig_id AS contig_id, CAST(len(seq) AS INTEGER) AS len, NOT forward AS reverse, md5(CASE WHEN forward THEN seq ELSE translate(reverse(seq), 'ACGT', 'TGCA') END) AS oriented_md5 FROM contigs JOIN orientation USING (contig_id)",
@@ -215,6 +221,7 @@ ORACLE_SQL = {
     "kmer_dictionary": f"WITH {_PAIRS[1:].split('dense AS')[0].strip().rstrip(',')}, r AS (SELECT kmer AS own, translate(reverse(kmer), 'ACGT', 'TGCA') AS kmer FROM dictionary) SELECT {_NUMBER.replace('kmer', 'own')} AS kmer_index, own AS kmer, {_NUMBER} AS reverse_index FROM r",
     "sequence_round_trips": f"WITH {_CONTIGS} SELECT contig_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS reverse_md5, md5(seq) AS indices_md5, md5(seq) AS codes_md5, translate(left(seq, 1), 'ACGT', 'TGCA') AS first_complement FROM contigs WHERE len(seq) >= 4",
     "key_ranks": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id = 0 THEN 0 ELSE 1 END, event_id DESC) AS INTEGER) AS place FROM events",
+    "key_lookup": "SELECT a.event_id, coalesce(b.event_id, -1) AS place FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id = 2 * b.event_id",
     "length_selection": f"WITH {_CONTIGS}, {_SELECTION} SELECT contig_id, CAST(len AS INTEGER) AS len, rank FROM selection",
     "length_probe": f"WITH {_CONTIGS} SELECT least, count(*) FILTER (len(seq) >= least) AS n FROM contigs, (SELECT unnest(range(0, 10001, 500)) AS least) GROUP BY least",
     "length_stats": f"WITH {_CONTIGS} SELECT count(*) AS n, round(avg(len(seq)), 4) AS mean, CAST(min(len(seq)) AS INTEGER) AS min, CAST(max(len(seq)) AS INTEGER) AS max, " + _points("len(seq)", p01=0.01, p25=0.25, p50=0.5, p75=0.75, p90=0.9, p95=0.95, p99=0.99).replace(", 6)", ", 4)") + " FROM contigs",
@@ -244,6 +251,8 @@ grow AS (SELECT large AS last FROM t UNION ALL SELECT last + 1 FROM grow, t WHER
 SELECT bin, size FROM s WHERE bin <= (SELECT max(last) FROM grow)""",
     "chi_squared_pairs": f"WITH {_CHI} SELECT a, b, round(chi, 3) AS chi, round(chi_reverse, 3) AS chi_reverse FROM chi WHERE least(chi, chi_reverse) <= 255",
     "seed_clusters": f"WITH RECURSIVE {_CHI}, {_SEEDS} SELECT contig_id, cluster FROM seeds",
+    "mapped_back": f"WITH {_CONTIGS}, b AS (SELECT contig_id, CAST(dense_rank() OVER (ORDER BY left(contig_id, 2)) AS INTEGER) AS bin FROM contigs WHERE len(seq) >= 1000) SELECT contig_id, coalesce(bin, -1) AS cluster FROM contigs LEFT JOIN b USING (contig_id)",
+    "placed_back": f"WITH {_CONTIGS} SELECT contig_id, CAST(CASE WHEN len(seq) >= 1000 THEN (row_number() OVER (PARTITION BY len(seq) >= 1000 ORDER BY contig_id) - 1) % 9 + 1 ELSE 0 END AS INTEGER) AS cluster FROM contigs",
     "seed_directions": f"""WITH RECURSIVE {_CHI}, {_SEEDS},
 held AS MATERIALIZED (
   SELECT contig_id, cluster, d.kmer, d.n, t.n AS turned, first_value(d.n) OVER (PARTITION BY cluster, d.kmer ORDER BY contig_id) AS first
@@ -275,7 +284,9 @@ FROM states k JOIN names m ON m.cluster = k.cluster AND m.code = k.code JOIN wei
     "strand_scores": f"{_STRANDS} SELECT contig_id, cluster, backward, round(score, 4) AS score FROM strands",
     "best_strands": f"{_STRANDS}, b AS (SELECT contig_id, max((score, -cluster, NOT backward)) AS x FROM strands GROUP BY contig_id) SELECT contig_id, -x[2] AS cluster, NOT x[3] AS reverse FROM b",
     "context_scores": f"{_SCORES} SELECT contig_id, cluster, round(score, 4) AS score, round(squares, 4) AS squares FROM scores",
-    "look_behind": f"WITH {_CONTIGS}, bases AS (SELECT contig_id, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS pos FROM contigs WHERE seq <> '') , s AS (SELECT b AS base, coalesce(lag(b, 1) OVER w, '') || coalesce(lag(b, 2) OVER w, '') || coalesce(lag(b, 3) OVER w, '') AS context FROM bases WINDOW w AS (PARTITION BY contig_id ORDER BY pos)) SELECT context, base, count(*) AS n FROM s GROUP BY ALL",
+    "look_behind": f"""WITH {_CONTIGS},
+places AS (SELECT contig_id, seq, unnest(range(1, len(seq) + 1)) AS pos FROM contigs)
+SELECT contig_id, count(*) AS n, md5(string_agg(reverse(substr(seq, greatest(pos - 40, 1), least(pos - 1, 40))) || '>' || substr(seq, pos, 1), ',' ORDER BY pos)) AS steps_md5 FROM places GROUP BY contig_id""",
     "score_per_base": f"{_SCORES}, {_STATS} SELECT cluster, size, bases, round(mean, 4) AS mean, round(var, 4) AS var FROM stats",
     "cluster_weakness": f"""{_SCORES},
 per AS (SELECT contig_id, mine, any_value(len) AS len, max(score) FILTER (cluster = mine) AS own, max(score) FILTER (cluster <> mine) AS other FROM scores GROUP BY contig_id, mine)
@@ -298,10 +309,13 @@ SELECT mine AS cluster, count(*) AS size, round(avg(own), 4) AS own, round(avg(o
     "bin_grade": f"WITH {_SOURCES}, {_PURITY}, t AS (SELECT count(*) AS n_bins, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(size) AS BIGINT) AS assigned FROM purity WHERE bin <= 10), u AS (SELECT count(*) AS unassigned FROM source_bins WHERE bin > 10) SELECT n_bins, correct, assigned, round(correct / assigned, 6) AS accuracy, unassigned, round(unassigned / (assigned + unassigned), 6) AS unassigned_share FROM t, u",
     "top_bins": f"WITH {_SOURCES}, {_PURITY} SELECT bin, label, correct, size, round(purity, 6) AS purity FROM purity ORDER BY size DESC, bin LIMIT 5",
     "all_pure": f"WITH {_SOURCES}, {_PURITY} SELECT true AS all_pure UNION ALL SELECT bool_and(purity = 1) FROM purity",
-    "token_stream": f"WITH {_CONTIGS}, bases AS (SELECT contig_id, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS pos FROM contigs WHERE seq <> ''), w AS (SELECT contig_id, pos, b || lead(b, 1) OVER w || lead(b, 2) OVER w || lead(b, 3) OVER w AS kmer FROM bases WINDOW w AS (PARTITION BY contig_id ORDER BY pos)), t AS (SELECT contig_id, count(*) AS n, string_agg(CAST({_NUMBER} AS VARCHAR), ',' ORDER BY pos) AS ids FROM w WHERE kmer IS NOT NULL GROUP BY contig_id) SELECT contig_id, coalesce(n, 0) AS n_tokens, md5(coalesce(ids, '')) AS tokens_md5 FROM contigs LEFT JOIN t USING (contig_id)",
+    "token_stream": f"WITH {_CONTIGS}, bases AS (SELECT contig_id, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS pos FROM contigs WHERE seq <> ''), w AS (SELECT contig_id, pos, b || lead(b, 1) OVER w || lead(b, 2) OVER w || lead(b, 3) OVER w AS kmer FROM bases WINDOW w AS (PARTITION BY contig_id ORDER BY pos)), t AS (SELECT contig_id, count(*) AS n, string_agg(CAST({_NUMBER} AS VARCHAR), ',' ORDER BY pos) AS ids FROM w WHERE kmer IS NOT NULL GROUP BY contig_id) SELECT CASE WHEN left(md5(contig_id), 8) < '80000000' THEN 'train' ELSE 'val' END AS split, contig_id, coalesce(n, 0) AS n_tokens, md5(coalesce(ids, '')) AS tokens_md5 FROM contigs LEFT JOIN t USING (contig_id)",
     "best_identity": f"WITH {_MATCHES} SELECT query, max(pct) AS pct FROM matches WHERE match_len >= 100 GROUP BY query",
     "best_hit": f"WITH {_MATCHES} SELECT query, arg_max(hit, (bitscore, -line)) AS hit, max(bitscore) AS bitscore FROM matches GROUP BY query",
     "last_match": f"WITH {_MATCHES} SELECT query, arg_max(pct, line) AS pct, arg_max(match_len, line) AS match_len FROM matches GROUP BY query",
+    "hit_scan": "SELECT 'p' || l_partkey AS query, arg_max('o' || l_orderkey, s) AS hit, round(max(s), 6) AS bitscore FROM (SELECT *, l_extendedprice + (l_orderkey * 10 + l_linenumber) / 1e9 AS s FROM lineitem) GROUP BY l_partkey",
+    "taxon_scan": f"WITH {_MATCHES}, {_CLASSES} SELECT contig_id, class FROM classes",
+    "touched_bins": f"WITH {_CONTIGS}, {_SOURCES} SELECT DISTINCT bin FROM source_bins JOIN contigs USING (contig_id) WHERE len(seq) >= 3000",
     "taxon_classes": f"WITH {_MATCHES}, {_CLASSES} SELECT contig_id, class FROM classes",
     "match_grade": f"WITH {_MATCHES}, {_CLASSES} SELECT * FROM grades",
     "best_bin": f"WITH {_MATCHES}, {_CLASSES} SELECT arg_max(bin, (over, -bin)) AS best_bin FROM grades",

@@ -68,6 +68,54 @@ def two_column_scan(spark, sf_dir):
     return fasta.read_two_columns(spark, scratch.path("contigs.txt")).select("contig_id", F.md5("seq").alias("seq_md5"))
 
 
+def encoded_scan(spark, sf_dir):
+    """Every label twice in the file, with unknown bases; this reader keeps both rows."""
+    scratch = Scratch(spark, "encoded")
+    rows = _contigs(spark, sf_dir, unknown=True).where("len > 0").select("contig_id", "seq")
+    sinks.write_two_columns(rows.unionByName(rows.withColumn("seq", F.reverse("seq"))), scratch.path("contigs.txt"))
+    return fasta.read_two_columns(spark, scratch.path("contigs.txt"), keep_first=False).select("contig_id", F.md5("seq").alias("seq_md5"))
+
+
+def old_fasta_scan(spark, sf_dir):
+    scratch = Scratch(spark, "old-fasta")
+    rows = _contigs(spark, sf_dir).where("len > 0")
+    fasta.write_fasta(rows.withColumn("contig_id", F.concat(F.lit("a_name_of_many_letters_"), "contig_id", F.lit(" more"))), scratch.path("contigs.fasta"), 100)
+    return fasta.read_old_fasta(spark, scratch.path("contigs.fasta")).select("contig_id", F.md5("seq").alias("seq_md5"))
+
+
+def _one_file(lines: DataFrame, path: str) -> str:
+    """Write the values of (line, value) as one file, in order of line."""
+    lines.coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
+    return path
+
+
+def fixed_hit_scan(spark, sf_dir):
+    scratch, p = Scratch(spark, "fixed"), _table(spark, sf_dir, "part")
+    p.select(F.format_string("%-25s%8.2f", F.concat(F.lit("p"), "p_partkey"), F.col("p_partkey") / 7).alias("value")).write.text(scratch.path("hits.txt"))
+    return fasta.read_fixed_hits(spark, scratch.path("hits.txt"))
+
+
+def restart_scan(spark, sf_dir):
+    scratch, p = Scratch(spark, "restart"), _table(spark, sf_dir, "part")
+    value = F.format_string("%-25s%3d%3d", F.concat(F.lit("p"), "p_partkey"), F.col("p_partkey") % 40, F.col("p_partkey") % 2)
+    return fasta.read_restart(spark, _one_file(p.select(F.col("p_partkey").alias("line"), value.alias("value")), scratch.path("restart.txt")))
+
+
+def file_catalog(spark, sf_dir):
+    """One file or folder of contigs for each organism."""
+    scratch = Scratch(spark, "catalog")
+    rows = _contigs(spark, sf_dir).select(S.organism("contig_id").alias("org"), F.concat_ws(" ", "contig_id", "seq").alias("value"))
+    rows.write.partitionBy("org").text(scratch.path("organisms"))
+    return fasta.organisms(spark, scratch.path("organisms"), 7)
+
+
+def united_organisms(spark, sf_dir):
+    """Contigs as read, and the same names turned around from another source, which wins."""
+    rows = _contigs(spark, sf_dir).select("contig_id", "seq")
+    turned = rows.where(S.organism("contig_id") == "en").withColumn("seq", S.reverse_complement("seq"))
+    return fasta.united(rows, turned, last_wins=True).select("contig_id", F.md5("seq").alias("seq_md5"))
+
+
 def peptide_orientation(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     head = F.format_string(">p%d data c%d:%d-%d(%s)", "doc_id", F.col("doc_id") % 40, F.lit(10), F.lit(10) + F.col("n_chars") % 200, F.when(F.col("doc_id") % 3 == 0, "+").otherwise("-"))
@@ -123,6 +171,13 @@ def key_ranks(spark, sf_dir):
     return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("key")).alias("place"))
 
 
+def key_lookup(spark, sf_dir):
+    """Places of 128-bit keys, half of which the table lacks."""
+    rows = _table(spark, sf_dir, "events").select("event_id", W.make(F.col("user_id"), F.col("event_id")).alias("key"))
+    keys = _table(spark, sf_dir, "events").select(W.make(F.col("user_id"), F.col("event_id") * 2).alias("key"), F.col("event_id").alias("place"))
+    return W.looked_up(rows, keys).select("event_id", "place")
+
+
 def length_selection(spark, sf_dir):
     return B.percentile_selection(_contigs(spark, sf_dir))
 
@@ -233,6 +288,18 @@ def seed_clusters(spark, sf_dir):
     return C.seed_clusters(scratch, scratch.write(P.positioned(scratch, _contigs(spark, sf_dir)), "placed"))
 
 
+def mapped_back(spark, sf_dir):
+    contigs = _contigs(spark, sf_dir).select("contig_id", "len")
+    return C.mapped_back(contigs, _language_bins(contigs.where("len >= 1000")).withColumnRenamed("bin", "cluster")).select("contig_id", F.col("cluster").cast("int").alias("cluster"))
+
+
+def placed_back(spark, sf_dir):
+    """Clusters by the place among contigs of 1000 bases and more."""
+    placed = P.positioned(Scratch(spark, "placed"), _contigs(spark, sf_dir)).select("contig_id", "len", "pos")
+    clusters = spark.range(placed.count()).select(F.col("id").alias("place"), (F.col("id") % 9 + 1).cast("int").alias("cluster"))
+    return C.placed_back(placed, clusters, 1000).select("contig_id", "cluster")
+
+
 def seed_directions(spark, sf_dir):
     scratch = Scratch(spark, "seeds")
     state, _ = P.seeded(spark, scratch, _contigs(spark, sf_dir))
@@ -275,8 +342,10 @@ def strand_scores(spark, sf_dir):
 
 
 def look_behind(spark, sf_dir):
-    rows = M.contexts(P.spread(_contigs(spark, sf_dir)), 3)
-    return rows.groupBy("context", "base").agg(F.count("*").alias("n"))
+    """Each contig's bases with up to 40 before them, as one digest."""
+    rows = M.contexts(P.spread(_contigs(spark, sf_dir)), X.DEPTH)
+    all_ = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(">", "context", "base").alias("step"))))
+    return rows.groupBy("contig_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(all_, lambda x: x["step"]), ",")).alias("steps_md5"))
 
 
 def score_per_base(spark, sf_dir):
@@ -373,7 +442,7 @@ def all_pure(spark, sf_dir):
 
 def token_stream(spark, sf_dir):
     rows = sinks.tokens(P.spread(_contigs(spark, sf_dir)))
-    return rows.select("contig_id", "n_tokens", F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("tokens_md5"))
+    return rows.select("split", "contig_id", "n_tokens", F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("tokens_md5"))
 
 
 def _match_lines(spark, sf_dir) -> DataFrame:
@@ -414,6 +483,28 @@ def last_match(spark, sf_dir):
     return G.last_match(_matches(spark, sf_dir))
 
 
+def hit_scan(spark, sf_dir):
+    """Best hits of a file of twelve columns."""
+    scratch, li = Scratch(spark, "hits"), _table(spark, sf_dir, "lineitem")
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    score = (F.col("l_extendedprice") + line / 1e9).cast("string")
+    value = F.concat_ws("\t", F.concat(F.lit("p"), "l_partkey", F.lit("."), "l_linenumber"), F.concat(F.lit("o"), "l_orderkey"), *[F.lit(str(k)) for k in range(9)], score)
+    li.select(value.alias("value")).write.text(scratch.path("hits.txt"))
+    return _round(G.best_hit(tables.read_hits(spark, scratch.path("hits.txt"))))
+
+
+def taxon_scan(spark, sf_dir):
+    scratch, p = Scratch(spark, "taxa"), _table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("line"), F.concat_ws(" ", F.concat(F.lit("p"), "p_partkey"), F.col("p_partkey") % 3, F.col("p_partkey") % 5).alias("value"))
+    head = spark.sql("SELECT -1L AS line, 'id Haptophyta Rhizaria' AS value")
+    return G.taxon_class(tables.read_taxa(spark, _one_file(head.unionByName(rows), scratch.path("taxa.txt"))))
+
+
+def touched_bins(spark, sf_dir):
+    """Bins that share a member with the long contigs."""
+    return B.touched(_source_bins(spark, sf_dir), _contigs(spark, sf_dir).where("len >= 3000"))
+
+
 def taxon_classes(spark, sf_dir):
     return G.taxon_class(_taxa(spark, sf_dir))
 
@@ -450,11 +541,11 @@ def compared_runs(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        pair_counts, fasta_scan, two_column_scan, peptide_orientation, normalised_contigs, tagged_contigs, kept_and_skipped, kmer_counts, kmer_shares, kmer_profiles, kmer_dictionary,
-        sequence_round_trips, wide_keys, key_ranks, length_selection, length_probe, length_stats, length_thresholds, variation_pairs, sparse_variation_pairs, distance_stats, organism_stats,
+        pair_counts, fasta_scan, two_column_scan, encoded_scan, old_fasta_scan, fixed_hit_scan, restart_scan, file_catalog, united_organisms, peptide_orientation, normalised_contigs, tagged_contigs, kept_and_skipped, kmer_counts, kmer_shares, kmer_profiles, kmer_dictionary,
+        sequence_round_trips, wide_keys, key_ranks, key_lookup, length_selection, length_probe, length_stats, length_thresholds, variation_pairs, sparse_variation_pairs, distance_stats, organism_stats,
         share_below_cross, created_bins, nearest_bins, bin_medians, merge_links, nearest_median, reduced_bins, distance_binning, distance_grade, organism_experiments, chi_squared_pairs,
-        seed_clusters, seed_directions, context_states, context_levels, context_scores, strand_scores, look_behind, score_per_base, cluster_weakness, reassignment, reassignment_counts, best_strands, score_totals,
+        seed_clusters, mapped_back, placed_back, seed_directions, context_states, context_levels, context_scores, strand_scores, look_behind, score_per_base, cluster_weakness, reassignment, reassignment_counts, best_strands, score_totals,
         log_likelihood, cull_candidate, score_histogram, score_outliers, fixed_lines, model_binning, refined_binning, dumped_bins, bin_purity, bin_labels, bin_grade, top_bins, all_pure,
-        token_stream, best_identity, best_hit, last_match, taxon_classes, match_grade, best_bin, bin_details, every_bin_details, organism_pairs, compared_runs,
+        token_stream, best_identity, best_hit, hit_scan, taxon_scan, touched_bins, last_match, taxon_classes, match_grade, best_bin, bin_details, every_bin_details, organism_pairs, compared_runs,
     )
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import encode, reverse_complement
@@ -79,10 +81,20 @@ def organisms(spark: SparkSession, folder: str, prefix: int = 3) -> DataFrame:
     """(org, file, prefix): files of a folder in order of their names, numbered from 0, with the beginnings of the names."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    names = sorted(f.getPath().getName() for f in files)
+    names = sorted(n for n in (f.getPath().getName() for f in files) if not n.startswith(("_", ".")))
     return spark.createDataFrame([(i, n, n[:prefix]) for i, n in enumerate(names)], "org int, file string, prefix string")
 
 
+def united(*organisms: DataFrame, last_wins: bool = False) -> DataFrame:
+    """The contigs of all organisms, rows of one name all kept, or only that of the last organism which has it."""
+    rows = [o.withColumn("order", F.lit(k)) for k, o in enumerate(organisms)]
+    both = reduce(DataFrame.unionByName, rows)
+    if not last_wins:
+        return both.drop("order")
+    columns = [c for c in both.columns if c not in ("contig_id", "order")]
+    return both.groupBy("contig_id").agg(F.max_by(F.struct(*columns), "order").alias("row")).select("contig_id", "row.*")
+
+
 def organism_pairs(orgs: DataFrame) -> DataFrame:
     """(i, j) with i < j, the experiments of an all-pairs run."""
     return orgs.select(F.col("org").alias("i")).join(orgs.select(F.col("org").alias("j")), F.col("i") < F.col("j"))
@@ -98,11 +110,15 @@ def read_fixed_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_restart(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, cluster, direction) by line, after 25 characters of name."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(F.substring("value", 26, 3)).cast("int").alias("cluster"), F.trim(F.substring("value", 29, 3)).cast("int").alias("direction"))
-    from pyspark.sql import Window
+    """(pos, cluster, direction) by line, after 25 characters of name.
 
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).alias("pos"), "cluster", "direction")
+    Lines are numbered within each part of the file, then the parts' sizes are summed.
+    """
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select(F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place"), _fixed(26, 3).cast("int").alias("cluster"), _fixed(29, 3).cast("int").alias("direction"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before)  # one row a part
+    return rows.join(parts, "part").select((F.col("before") + F.col("place")).alias("pos"), "cluster", "direction")
 
 
 def read_old_fasta(spark: SparkSession, path: str) -> DataFrame:

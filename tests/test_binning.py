@@ -219,6 +219,14 @@ def test_dissolved_and_reassigned(spark):
     assert C.movement(state, after, found).first().asDict() == {"assigned": 0, "reassigned": 1, "stayed": 1, "negative": 2, "deassigned": 2}
 
 
+def test_clusters_of_unknown_contigs(spark):
+    contigs = spark.createDataFrame([("a",), ("b",)], "contig_id string")
+    clusters = spark.createDataFrame([("b", 4)], "contig_id string, cluster int")
+    assert {tuple(r) for r in C.mapped_back(contigs, clusters).collect()} == {("a", -1), ("b", 4)}
+    with pytest.raises(Exception, match="no such contig: c"):
+        C.mapped_back(contigs, spark.createDataFrame([("c", 1)], "contig_id string, cluster int")).collect()
+
+
 def test_weakest():
     row = lambda k, norm, cv, absorb: {"cluster": k, "mean_norm": norm, "cv": cv, "absorbability": absorb}
     assert C.weakest([row(0, 0.5, 0.1, 0.1), row(1, 0.5, 0.1, 0.1)], 2, 0.7, 2.0) == -1
