@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import held_out, sample, text_of
 
 #: Bytes embedded in DIM numbers; FILTERS of WIDTH bytes every STEP bytes; places of a chunk.
 DIM, FILTERS, WIDTH, STEP, PLACES = 6, 24, 10, 2, 64
@@ -33,6 +33,8 @@ SPAN = (PLACES - 1) * STEP + WIDTH
 HOP = PLACES * STEP
 #: Labelled rows that are learned from, at most: good ones, poor ones; turns over them; steps at least; texts of a step.
 TRAIN_ROWS, TURNS, STEPS, STEP_TEXTS = (900, 600), 6, 500, 16
+#: Rows whose checksum leaves this rest are never learned from: (divisor, rest).
+HELD = (5, 0)
 #: Chunks of one forward pass.
 PASS_CHUNKS = 1024
 
@@ -172,23 +174,9 @@ def trained(good: list[bytes], poor: list[bytes], turns: int = TURNS, seed: int
     return net
 
 
-def held_out(id_col: str, of: int = 5, rest: int = 0) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: tuple[int, int]) -> tuple[list[bytes], list[bytes]]:
-    """Whole texts of ``rows`` rows at most of each label, ones and zeros, that may be learned from, the same at every run."""
-    out = []
-    for value, most in zip((1, 0), rows, strict=True):
-        ids = labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col)).distinct()
-        ids = ids.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(most)
-        texts = docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(ids), id_col)
-        out.append([r["text"].encode() for r in texts.groupBy(id_col).agg(F.min("text").alias("text")).orderBy(id_col).collect()])
-    return out[0], out[1]
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: tuple[int, int] = TRAIN_ROWS) -> Network | None:
-    return trained(*sample(docs, labels.where(~held_out(id_col)), label, id_col, text_col, rows))
+    good, poor = sample(docs, labels.where(~held_out(id_col, *HELD)), label, id_col, text_col, rows)
+    return trained([t.encode() for t in good], [t.encode() for t in poor])
 
 
 def scored(network):
@@ -212,4 +200,4 @@ def scores(spark: SparkSession, docs: DataFrame, network: Network | None, id_col
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     out = scores(spark, docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", *HELD).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -29,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import held_out, sample, text_of
 
 #: Terms of common abuse that need no label to be listed.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting")
@@ -41,6 +41,8 @@ REPORTS = frozenset("said says wrote writes called calls quote quoted quotes wor
 QUOTES = frozenset("\"'“”„«»‘’‹›")
 #: Labelled rows that are learned from, at most: toxic ones, clean ones.
 TRAIN_ROWS = (1200, 4000)
+#: Rows whose checksum leaves this rest are never learned from: (divisor, rest).
+HELD = (3, 1)
 #: Letters of a whole word from which on one error is allowed; lengths of stems.
 FUZZY, STEMS = 5, (4, 5, 6, 7)
 #: Share of a hit that a misspelled one and a quoted one count.
@@ -74,7 +76,7 @@ class Automaton:
     """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.terms = [*words, *stems]
+        self.terms, self.stem_terms = [*words, *stems], [*stems]
         self.weights = np.array([*words.values(), *stems.values()])
         letters = sorted(set("".join(self.terms)))
         self.classes = len(letters) + 2  # 0: not part of a word; 1: another letter
@@ -314,23 +316,8 @@ def learned(toxic: list[str], clean: list[str]) -> Model:
     return Model(automaton, max(slope, 0.1), intercept, fine)
 
 
-def held_out(id_col: str, of: int = 3, rest: int = 1) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: tuple[int, int]) -> tuple[list[str], list[str]]:
-    """Whole texts of ``rows`` rows at most of each label, ones and zeros, that may be learned from, the same at every run: (ones, zeros)."""
-    out = []
-    for value, most in zip((1, 0), rows, strict=True):
-        ids = labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col)).distinct()
-        ids = ids.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(most)
-        texts = docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(ids), id_col)
-        out.append([r["text"] for r in texts.groupBy(id_col).agg(F.min("text").alias("text")).orderBy(id_col).collect()])
-    return out[0], out[1]
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
-    return learned(*sample(docs, labels.where(~held_out(id_col)), label, id_col, text_col, rows))
+    return learned(*sample(docs, labels.where(~held_out(id_col, *HELD)), label, id_col, text_col, rows))
 
 
 _HITS = "array<struct<first:int,last:int,term:string,errors:int,quoted:boolean>>"
@@ -361,7 +348,7 @@ def scores(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "do
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     out = scores(spark, docs, train(docs, labels), with_hits=False).withColumnRenamed("id", "doc_id")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", *HELD).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:

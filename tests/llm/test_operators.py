@@ -617,6 +617,41 @@ def test_toxic_context():
     assert scored[2] < 0.5 and scored[3] < 0.5 and scored[4] < 0.1 and scored[5] == scored[4]
 
 
+def brute_toxicity(model, text):
+    """Every word of the text against every term, one by one."""
+    a, total = model.automaton, 0.0
+    inside = [a.table[ord(c)] > 0 for c in text]
+    masked = [not x and 0 < i < len(text) - 1 and inside[i - 1] and inside[i + 1] and text[i] in toxicity.MASKS for i, x in enumerate(inside)]
+    first = 0
+    while first < len(text):
+        if not inside[first]:
+            first += 1
+            continue
+        last = first
+        while last < len(text) and (inside[last] or masked[last]):
+            last += 1
+        word = "".join("\0" if masked[i] else text[i].lower() for i in range(first, last))
+        n = len(a.stem_terms)
+        stems = sorted((len(t), i) for i, t in enumerate(a.terms) if i >= len(a.terms) - n and word.startswith(t))
+        exact = [i for i, t in enumerate(a.terms) if t == word]
+        near = [i for i, t in enumerate(a.terms[: len(a.terms) - n]) if len(t) >= toxicity.FUZZY and t[0] == word[0] and distance(t, word) == 1]
+        found = [(0, min(exact))] if exact and not (stems and stems[0][0] < len(word)) else [(0, stems[0][1])] if stems else [(1, min(near))] if near and text[first:last].lower() not in model.fine else []
+        for errors, term in found:
+            total += a.weights[term] * (toxicity.MISSPELLED if errors else 1) * (toxicity.QUOTED if toxicity.quoted(text, first, last) else 1)
+        first = last
+    return 1 / (1 + math.exp(-(model.slope * math.log1p(total) + model.intercept)))
+
+
+def test_toxicity_same_as_brute_force(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.train(docs, labels), toxicity.Model(toxicity.Automaton(dict.fromkeys(["idiot", "scum", "pathetic", "worthless"], 0.75), {"trash": 0.5, "lose": 1.0}), *toxicity.PLAIN, frozenset(["scums"]))]
+    extra = docs_of(spark, [(9000 + i, t, "en", "s", 1) for i, t in enumerate(["you idi0t, losers!", "Trashy. 'worthles' he said", "PATHETIC", "scums path3tic x", "", None])])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.unionByName(extra).collect()}
+    for model in models:
+        got = {r["id"]: r["score"] for r in toxicity.scores(spark, docs.unionByName(extra), model, with_hits=False).collect()}
+        assert got == pytest.approx({k: brute_toxicity(model, t) for k, t in texts.items()}, abs=1e-9)
+
+
 def test_toxicity_learns(spark):
     r = random.Random(3)
     vocab = ["".join(r.choices("abcdeghimnoprst", k=r.randrange(3, 9))) for _ in range(500)]
@@ -818,6 +853,29 @@ def test_gradients():
             assert grad[at] == pytest.approx((up - down) / (2 * eps), abs=1e-3)
 
 
+def test_quality_same_as_brute_force(spark, small):
+    """Every place of every text, one filter answer after the other, without chunk arrays."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    net = quality.Network.started(3)
+    net.bias += 0.1
+
+    def brute(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        ends = max(1, -(-max(len(data) - quality.WIDTH + quality.STEP, 1) // quality.HOP)) * quality.HOP
+        data = np.concatenate([data[: ends + quality.WIDTH], np.full(max(0, ends + quality.WIDTH - len(data)), 32, np.uint8)])
+        tops = []
+        for low in range(0, ends, quality.HOP):
+            answers = [net.embed[data[p : p + quality.WIDTH]].ravel() @ net.filters for p in range(low, low + quality.HOP, quality.STEP)]
+            tops.append(np.tanh(np.maximum(np.max(answers, axis=0) + net.bias, 0)))
+        tops = np.array(tops, np.float64)
+        spread = np.sqrt(np.maximum((tops**2).mean(0) - tops.mean(0) ** 2, 0) + 1e-4)
+        return float(1 / (1 + np.exp(-(np.concatenate([tops.mean(0), spread, tops.max(0)]) @ net.dense + net.base[0]))))
+
+    want = {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
+    got = {r["id"]: r["score"] for r in quality.scores(spark, docs, net).collect()}
+    assert got == pytest.approx(want, abs=2e-3) and len(set(got.values())) > 100
+
+
 def test_quality_learns(spark):
     r = random.Random(3)
     rows, labels = [], []
