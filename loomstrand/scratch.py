@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import threading
@@ -22,20 +23,43 @@ FEW = 8
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a folder of our
-    own set.
+    Only where the session names none and all of Spark is one process (tests,
+    one machine) is a temporary folder of our own set; a cluster without the
+    setting is an error, as its executors could not read each other's tables.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomstrand-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders that this process has made, with the session of each.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def clear() -> None:
+    """Delete all tables that this process has written; results not read yet are lost. Runs at exit."""
+    while _ROOTS:
+        root, spark = _ROOTS.popitem()
+        with contextlib.suppress(Exception):  # the gateway may be gone
+            _deleted(spark, root)
+
+
+atexit.register(clear)
+
+
 _HELD: dict[str, list] = {}
 _LOCK = threading.Lock()
 
@@ -77,6 +101,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+        _ROOTS[self.root] = spark
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
@@ -99,9 +124,7 @@ class Scratch:
 
     def drop(self, *tags: str) -> None:
         """Delete these tables; then let Spark's cleaner see the shuffles that only they needed."""
-        jvm = self.spark._jvm
         for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(tag))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _deleted(self.spark, self.path(tag))
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
