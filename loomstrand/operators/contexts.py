@@ -27,8 +27,8 @@ from ..scratch import Scratch
 
 #: Bases of the longest context; bases that must follow a state, more than.
 DEPTH, SUPPORT = 40, 50
-#: Levels counted in one pass, by the level reached: few while most places still extend, many once few do.
-PASSES = ((0, 4), (4, 2), (8, 8))
+#: Levels counted in the first pass; in a later one while more than BUSY of all places are at the deepest states, and once fewer are.
+FIRST, FEW, MANY, BUSY = 4, 2, 8, 0.15
 
 _CODES = np.full(256, 4, np.int8)
 _CODES[[65, 67, 71, 84]] = range(4)
@@ -169,9 +169,9 @@ def _extensions(shared, have: int, more: int):
 def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, depth: int = DEPTH, floor: float = FLOOR) -> Models:
     """Models of the clusters of members (contig_id, seq, reverse, cluster), smoothed."""
     clusters = sorted(r["cluster"] for r in members.select("cluster").distinct().collect())
-    models, have = Models.rooted(clusters), 0
+    models, have, more = Models.rooted(clusters), 0, FIRST
     while have < depth and clusters:
-        more = min([step for least, step in PASSES if have >= least][-1], depth - have)
+        more = min(more, depth - have)
         shared = spark.sparkContext.broadcast(models)
         sums = members.select("seq", "reverse", "cluster").mapInArrow(_extensions(shared, have, more), "node long, code long, size long, base long, n long")
         n = [F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(f"n{b}") for b in range(4)]
@@ -200,6 +200,8 @@ def trained(spark: SparkSession, members: DataFrame, support: int = SUPPORT, dep
         if grown < more:
             break
         have += more
+        places = models.counts[models.level == 0].sum()
+        more = FEW if models.counts[models.level == have].sum() > BUSY * places else MANY
     models.smoothed(floor)
     return models
 
