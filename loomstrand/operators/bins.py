@@ -16,19 +16,33 @@ from .graph import components, leaders
 CENTROIDS = 20_000
 
 
+def numbered(scratch: Scratch, rows: DataFrame, tag: str, *order: str) -> DataFrame:
+    """rows with place, from 0 on in order of the columns: numbered within range-sorted parts, then the parts' sizes are summed.
+
+    No task holds more than a part, however many rows are alike in the first columns.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = scratch.write(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), tag)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # one row a part
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(sizes), "part").withColumn("place", place.cast("long")).drop("part", "before")
+
+
 def percentile_selection(contigs: DataFrame, low: float = 85.0, high: float = 95.0) -> DataFrame:
     """(contig_id, len, rank): the slice of contigs by (len, contig_id) between two percentages of their number.
 
-    Ranks come from counts of each length, so no task sorts all contigs.
+    Counts of each length tell which lengths are looked at; only contigs of these are put in order.
     """
     n = contigs.count()
     first, last = int(n * low / 100), int(n * high / 100)
     sizes = contigs.groupBy("len").agg(F.count("*").alias("same"))
     before = F.coalesce(F.sum("same").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("before", before).where((F.col("before") < last) & (F.col("before") + F.col("same") > first))
-    ranked = contigs.select("contig_id", "len").join(F.broadcast(sizes), "len")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("len").orderBy("contig_id"))
-    return ranked.withColumn("rank", rank.cast("long")).where((F.col("rank") > first) & (F.col("rank") <= last)).select("contig_id", "len", "rank")
+    row = sizes.agg(F.min("before").alias("skipped"), F.min("len").alias("low"), F.max("len").alias("high")).first()
+    some = contigs.select("contig_id", "len").where(F.col("len").between(F.lit(row["low"]), F.lit(row["high"])))
+    ranked = numbered(Scratch(contigs.sparkSession, "selection"), some, "lengths", "len", "contig_id").withColumn("rank", F.col("place") + 1 + (row["skipped"] or 0))
+    return ranked.where((F.col("rank") > first) & (F.col("rank") <= last)).select("contig_id", "len", "rank")
 
 
 def ordered(members: DataFrame, first: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations, count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import K, oriented, pseudo_sequence
@@ -157,11 +157,8 @@ def seeded(spark: SparkSession, scratch: Scratch, contigs: DataFrame, settings:
 
 
 def positioned(scratch: Scratch, contigs: DataFrame) -> DataFrame:
-    """contigs with pos: the place of contig_id in order, from range-sorted parts and their sizes."""
-    parts = scratch.write(contigs.repartitionByRange(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "contig_id").withColumn("part", F.spark_partition_id()), "positions")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("contig_id"))
-    return parts.withColumn("place", place).join(F.broadcast(sizes.select("part", "before")), "part").withColumn("pos", (F.col("before") + F.col("place") - 1).cast("long")).drop("part", "place", "before")
+    """contigs with pos: the place of contig_id in order."""
+    return B.numbered(scratch, contigs, "positions", "contig_id").withColumnRenamed("place", "pos")
 
 
 def settled(spark: SparkSession, scratch: Scratch, state: DataFrame, n: int, settings: ModelSettings, tag: str) -> DataFrame:
