@@ -5,6 +5,13 @@ Each stage is a function of (spark, docs, sf_dir); what it returns is written
 as Parquet and read again as the docs of the next one, so a lost executor
 costs no more than the stage it was in. All stages but the last return the
 columns of documents.
+
+Defined results: a row with a null or empty text is clean, one of all such
+rows stays as the copy of the empty text, and the mix leaves it out, as it has
+no words; a null id sorts after all others; a null source is a source; without
+labels the seeds of the lexicon judge; without benchmark items no document is
+contaminated; without documents no rows come out. Other columns of documents
+pass through all stages.
 """
 
 from __future__ import annotations
