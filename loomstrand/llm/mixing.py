@@ -2,7 +2,7 @@
 
 Each row has a key that looks random and depends on its id and text alone, so
 the order within a source is a fixed shuffle. Sizes are summed over ranges of
-that order (equal prefixes of the key, as many as the source needs), ranges
+that order (equal prefixes of the key, about as many as the root of the source's rows), ranges
 are summed up along the source, and only the range in which the budget ends is
 looked into. What results is one cut for each source: so many whole passes,
 then all rows before the cut key and part of the row there. Applying cuts is a
@@ -22,8 +22,6 @@ from ..scratch import Scratch
 from .common import NOT_WHITE, fresh, sized, text_of
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Rows that one range of a source's order is to hold, about.
-RANGE_ROWS = 4096
 
 
 def size_of(text_col: str) -> Column:
@@ -67,7 +65,8 @@ def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     budget = F.round("target").cast("long")
     plan = wanted.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", budget - F.col("passes") * F.col("source_size"))
-    plan = plan.withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log(F.col("n_rows") / F.lit(RANGE_ROWS)) / F.log(F.lit(16.0)))).cast("int"))
+    # as many ranges as a range has rows, about: a task sorts the ranges of a source, another the rows of one range
+    plan = plan.withColumn("digits", F.ceil(F.log(F.sqrt(F.col("n_rows"))) / F.log(F.lit(16.0))).cast("int"))
     of = sized(plan.select("grp", "rest", "digits"), wanted.count())
     ranged = rows.join(of, "grp").withColumn("part", F.expr("substring(key, 1, digits)")).withColumn("words", F.col("size") * F.col("copies"))
     parts = ranged.groupBy("grp", "part", "rest").agg(F.sum("words").alias("words"))

@@ -51,3 +51,23 @@ def test_pipeline_stages(spark, small):
         passes[r["doc_id"]][r["pass"]] += 1
         assert r["pass_words"] <= len(now[r["doc_id"]].split())
     assert set(passes) <= set(now) and all(set(c) <= {1, 2} and max(c.values()) == 1 for c in passes.values())
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline as p
+
+    from .test_operators import odd
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("a", None), (None, "")], "item_id string, text string")
+    for name, docs in (("odd", odd(spark)), ("none", odd(spark).where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.where("doc_id is not null" if name == "odd" else "false").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = Counter(r["doc_id"] for r in out.collect())
+        if name == "none":
+            assert not got
+        else:  # 5 and one of the rows of 1 are exact copies of 1; 2, 3 and another have no words
+            assert set(got) <= {1, None, 6, 7} and got[6]
