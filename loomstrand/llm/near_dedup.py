@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..scratch import Scratch
+from ..scratch import Scratch, interpreted
 from .blocks import Block, Powers, blocks, mix, plain_words, ranges
 from .common import fresh, hot_join, sized, text_of
 
@@ -410,12 +410,13 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     words = texts.select("text").mapInArrow(worded(), "key binary, words binary").join(sized(wanted), "key")
     words = scratch.write(words.groupBy("node", "words").agg(F.lit(1).alias("one")).drop("one"), "words")
     links = scratch.write(verified(pairs, words, size, least, level), "links")
-    roots = scratch.write(components(scratch, links, "graph"), "roots")
-    open_ = scratch.write(opened(held, roots, held.count()), "open")
-    pairs = scratch.write(small_pairs(open_), "small-pairs")
-    more = scratch.write(verified(pairs, words, size, least, level).unionByName(remaining(open_, words, size, least, level)), "more-links")
-    if not more.isEmpty():
-        roots = scratch.write(merged(scratch, roots, more), "merged")
+    with interpreted(spark):  # many plans over tables of links; all work on texts is in numpy
+        roots = scratch.write(components(scratch, links, "graph"), "roots")
+        open_ = scratch.write(opened(held, roots, held.count()), "open")
+        pairs = scratch.write(small_pairs(open_), "small-pairs")
+        more = scratch.write(verified(pairs, words, size, least, level).unionByName(remaining(open_, words, size, least, level)), "more-links")
+        if not more.isEmpty():
+            roots = scratch.write(merged(scratch, roots, more), "merged")
     scratch.drop("words", "members", "open")
     of_key = keys.select("key", "node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of_key.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("members"))
