@@ -485,3 +485,32 @@ def test_distance_at_the_threshold(spark):
         table = [pa.Table.from_pylist([row]) for row in rows]
         assert not len(variation_kernel(0.1)(*table, False))
         assert len(variation_kernel(0.1, True)(*table, False)) == 1
+
+
+def test_tries_in_pieces(spark, monkeypatch):
+    """Tries that the driver never holds whole: deep tops, several passes and pieces, against brute force at depth 40."""
+    for name, value in (("HEAVY", 120), ("BUCKET", 500), ("PASS", 1500), ("PIECE", 800), ("LEVELS", 2)):
+        monkeypatch.setattr(X, name, value)
+    r = random.Random(8)
+    unit, make = "".join(r.choices("ACGT", k=90)), lambda k: "".join(r.choices("ACGTN", [4, 3, 2, 1, 0.05], k=k))
+    train = {1: [unit + make(300) for _ in range(12)], 2: [make(200) + unit * 2 for _ in range(8)], 3: [make(100)]}
+    rows = [(f"c{k}_{i}", s, False, k) for k, own in train.items() for i, s in enumerate(own)]
+    members = spark.createDataFrame(rows, "contig_id string, seq string, reverse boolean, cluster int")
+    models = X.trained(spark, members, 5, 40)
+    found = X.scores(spark, members, models).collect()
+    assert models.n_pieces > 2 and (models.top.level > 3).any() and len(X.trained(spark, members, 5, 1).top.parent) == 16
+    assert len(models.top.parent) < (models.level >= 0).sum() / 2
+    assert len(found) == 3 * len(rows)
+    by_name = {n: s for n, s, _, _ in rows}
+    for x in r.sample(found, 12):
+        assert x["score"] == pytest.approx(walked(train[x["cluster"]], by_name[x["contig_id"]], 5, 40), abs=1e-6), x
+    listed = {(x["cluster"], x["context"]): [x[f"n_{b}"] for b in "acgt"] for x in X.states(spark, models).collect()}
+    seen = {}
+    for k, own in train.items():
+        for s in own:
+            for i, b in enumerate(s):
+                for n in range(41 if b != "N" else 0):
+                    if i < n or n and s[i - n] == "N":
+                        break
+                    seen.setdefault((k, s[i - n : i][::-1]), Counter())[b] += 1
+    assert listed == {c: [n[b] for b in "ACGT"] for c, n in seen.items() if n.total() > 5}
