@@ -291,18 +291,18 @@ def first_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     many = members.groupBy("bucket").agg(F.count("*").alias("size"), name(1), name(2)).where("size > 1")
     many = scratch.write(many.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     total = many.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    held = scratch.write(hot_join(members, many, ["bucket"], "size", total), "members")
+    held = scratch.write(hot_join(members, many, ["bucket"], "size", total, listed=True), "members")
     degrees = held.groupBy("node").agg(F.sum("size").alias("degree"))
     pivots = held.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.max("size").alias("of"))
-    pairs = hot_join(held.select("bucket", "node"), pivots, ["bucket"], "of", total).where("node <> pivot")
+    pairs = hot_join(held.select("bucket", "node"), scratch.write(pivots, "pivots"), ["bucket"], "of", total, listed=True).where("node <> pivot")
     return held, distinct_pairs(pairs.select("pivot", "node"))
 
 
-def opened(held: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+def opened(held: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, node, length, size, root) of the buckets that hold several components."""
     rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("of")).where("low <> high").select("bucket", "of")
-    return hot_join(rooted, split, ["bucket"], "of", total).drop("of")
+    return hot_join(rooted, scratch.write(split, "split"), ["bucket"], "of", held.count(), listed=True).drop("of")
 
 
 def small_pairs(open_: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def all_pairs(size: int, least: float, level):
     return run
 
 
-def remaining(open_: DataFrame, texts: DataFrame, size: int, least: float, level) -> DataFrame:
+def remaining(open_: DataFrame, texts: DataFrame, scratch: Scratch, size: int, least: float, level) -> DataFrame:
     """Links (a, b) among all pairs of different components of the larger open buckets.
 
     A bucket's largest component need not be compared with itself: the blocks
@@ -375,7 +375,7 @@ def remaining(open_: DataFrame, texts: DataFrame, size: int, least: float, level
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     blocked = lambda n, bytes_: F.greatest(F.ceil(n / BLOCK), F.ceil(bytes_ / BLOCK_TEXTS)).cast("long")
     split = split.select("bucket", F.col("main.root").alias("main"), blocked(F.col("main.n"), F.col("main.bytes")).alias("own"), blocked(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rest"), F.col("n").alias("of"))
-    sides = hot_join(large, split, ["bucket"], "of", large.count())
+    sides = hot_join(large, scratch.write(split, "sides"), ["bucket"], "of", large.count(), listed=True)
     shared = large.groupBy("node").agg(F.collect_set("bucket").alias("shared"))
     of_main, part = F.col("root") == F.col("main"), lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     side = F.when(of_main, F.col("rest") + part("own")).otherwise(part("rest"))
@@ -412,9 +412,9 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     links = scratch.write(verified(pairs, words, size, least, level), "links")
     with interpreted(spark):  # many plans over tables of links; all work on texts is in numpy
         roots = scratch.write(components(scratch, links, "graph"), "roots")
-        open_ = scratch.write(opened(held, roots, held.count()), "open")
+        open_ = scratch.write(opened(held, roots, scratch), "open")
         pairs = scratch.write(small_pairs(open_), "small-pairs")
-        more = scratch.write(verified(pairs, words, size, least, level).unionByName(remaining(open_, words, size, least, level)), "more-links")
+        more = scratch.write(verified(pairs, words, size, least, level).unionByName(remaining(open_, words, scratch, size, least, level)), "more-links")
         if not more.isEmpty():
             roots = scratch.write(merged(scratch, roots, more), "merged")
     scratch.drop("words", "members", "open")

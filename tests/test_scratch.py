@@ -66,3 +66,19 @@ def test_setting_is_restored_after_overlapping_blocks(spark):
     leave.set()
     thread.join()
     assert spark.conf.get(name) == before
+
+
+def test_listed_hot_join_marks_no_rows(spark, tmp_path):
+    """Hot keys are parted off by a list: no join hands on every row, and the result is that of a plain join."""
+    from pyspark.sql import functions as F
+
+    from loomstrand.joins import hot_join
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, -7).when(F.col("id") % 3 > 0, F.col("id") % 50).alias("k"), "id")
+    rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 1").write.parquet(f"{tmp_path}/groups")
+    groups = spark.read.parquet(f"{tmp_path}/groups")
+    for how in ("inner", "left"):
+        joined = hot_join(rows, groups, ["k"], "n", 6000, how, listed=True)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, rows.join(groups, ["k"], how).collect()))
+    plan = hot_join(rows, groups, ["k"], "n", 6000, listed=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and plan.count("Join Inner") == 2
