@@ -343,9 +343,7 @@ def strand_scores(spark, sf_dir):
 
 def look_behind(spark, sf_dir):
     """Each contig's bases with up to 40 before them, as one digest."""
-    rows = M.contexts(P.spread(_contigs(spark, sf_dir)), X.DEPTH)
-    all_ = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(">", "context", "base").alias("step"))))
-    return rows.groupBy("contig_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(all_, lambda x: x["step"]), ",")).alias("steps_md5"))
+    return M.context_digests(P.spread(_contigs(spark, sf_dir)), X.DEPTH)
 
 
 def score_per_base(spark, sf_dir):

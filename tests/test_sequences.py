@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomstrand.functions import sequences as S
 from loomstrand.functions import wide as W
+from loomstrand.operators import kmers
 
 
 def one(spark, column):
@@ -70,3 +71,16 @@ def test_tv_and_weights(spark):
     assert one(spark, S.total_variation(a, b)) == 0.5
     assert one(spark, S.log_weight(F.lit(0.25))) == 0.0
     assert one(spark, S.log_weight(F.lit(0.0))) == -4.0
+
+
+def test_context_digests(spark, monkeypatch):
+    """The digest of a row for each base, without making any."""
+    monkeypatch.setattr(kmers, "STEPS", 7)
+    rows = [("a", "ACGTNACGGT" * 9), ("b", "ACG"), ("twice", "ACGTTGCA"), ("twice", "CCGT"), ("empty", ""), ("none", None), ("wide", "AC\u00e9GT"), ("edge", "ACGTACGTA"), (None, "GATTACA")]
+    contigs = spark.createDataFrame(rows, "contig_id string, seq string")
+    steps = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(">", "context", "base").alias("step"))))
+    for depth in (3, 8, 40):
+        want = kmers.contexts(contigs, depth).groupBy("contig_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(steps, lambda x: x["step"]), ",")).alias("steps_md5"))
+        found = kmers.context_digests(contigs, depth)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
