@@ -215,7 +215,7 @@ def organism_stats(spark, sf_dir):
 
 
 def share_below_cross(spark, sf_dir):
-    return _round(D.share_below_cross(_selected(spark, sf_dir)[3]))
+    return _round(D.share_below_cross_of(_selected(spark, sf_dir)[2]))
 
 
 def created_bins(spark, sf_dir):

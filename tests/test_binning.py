@@ -560,3 +560,18 @@ def test_chi_squared_links(spark, monkeypatch):
             assert got == want
             graph = lambda found: {x["node"]: x["root"] for x in components(Scratch(spark, "t"), spark.createDataFrame(found, "a long, b long")).collect()}
             assert graph([(x["root"], x["node"]) for x in links]) == graph([tuple(x) for x in pairs])
+
+
+def test_share_below_cross_of_no_pairs(spark, monkeypatch):
+    """Shares of close pairs within organisms from blocks' counts, as from the list of all pairs."""
+    r = np.random.default_rng(3)
+    kinds = {"aa": r.dirichlet(np.full(256, 1.0)), "bb": r.dirichlet(np.full(256, 1.0)), "c": r.dirichlet(np.full(256, 1.0))}
+    kinds["cc"] = 0.7 * kinds["bb"] + 0.3 * kinds["aa"]
+    rows = [(f"{k}_{i}" if k != "c" else f"c{i}", [float(v) for v in r.multinomial(400, p) / 400]) for k, p in kinds.items() for i in range(25)] + [("aa_x", [0.0] * 256)]
+    for some in (rows, rows[:25], rows[:1], []):
+        frame = spark.createDataFrame(some, "contig_id string, p array<double>")
+        want = D.share_below_cross(D.variation_pairs(frame)).collect()
+        for most in (7, 512):
+            monkeypatch.setattr(D, "LINK_ROWS", most)
+            found = D.share_below_cross_of(frame)
+            assert {x["org"]: round(x["share"], 9) for x in found.collect()} == {x["org"]: round(x["share"], 9) for x in want}
