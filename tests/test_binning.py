@@ -575,3 +575,36 @@ def test_share_below_cross_of_no_pairs(spark, monkeypatch):
             monkeypatch.setattr(D, "LINK_ROWS", most)
             found = D.share_below_cross_of(frame)
             assert {x["org"]: round(x["share"], 9) for x in found.collect()} == {x["org"]: round(x["share"], 9) for x in want}
+
+
+def test_harmonic_bound_decides_close_pairs():
+    """Features give sum(ab / (a + b)) within their bound, and nearly all pairs that bounds by shares leave open are decided without a sum of their own."""
+    r = np.random.default_rng(8)
+    kind = r.dirichlet(np.full(256, 3.0))
+    x, y = (np.array([r.multinomial(int(n), r.dirichlet(kind * 8000)) for n in r.integers(3000, 9000, 300)], float) for _ in range(2))
+    by = D.Harmonic(int(max(x.max(), y.max())))
+    (fx, rest_x), (fy, rest_y) = by.features(x), by.features(y)
+    bound = rest_x[:, None] * rest_y + by.rounding * np.sqrt(x.sum(1)[:, None] * y.sum(1))
+    a, b = x[:40, None], y[None]
+    assert (np.abs(by.sums(fx, fy)[:40] - (a * b / np.maximum(a + b, 1)).sum(2)) <= bound[:40]).all()
+    order = [D._reverse_number(i, 4) for i in range(256)]
+    want = np.array([np.minimum(D.chi_squared(v, y), D.chi_squared(v, y[:, order])) <= 380.0 for v in x])
+    assert 0.1 < want.mean() < 0.9
+    x, y = CountedRows.of(x), CountedRows.of(y)
+    assert (D._linked(x, y, 380.0, order) == want).all()
+    assert CountedRows.taken < want.size / 10
+
+
+class CountedRows(np.ndarray):
+    """Profiles that count the rows taken from them one by one."""
+
+    taken = 0
+
+    @classmethod
+    def of(cls, x):
+        return x.view(cls)
+
+    def __getitem__(self, key):
+        if isinstance(key, np.ndarray) and key.dtype == np.int64 and key.ndim == 1:
+            CountedRows.taken += len(key)
+        return super().__getitem__(key)
