@@ -608,3 +608,25 @@ class CountedRows(np.ndarray):
         if isinstance(key, np.ndarray) and key.dtype == np.int64 and key.ndim == 1:
             CountedRows.taken += len(key)
         return super().__getitem__(key)
+
+
+def test_only_changed_clusters_are_trained(spark, monkeypatch):
+    """A cluster whose members stay is not trained again, for a removal, a next threshold or the turns' last look, and the result is that of plain turns."""
+    contigs = spark.createDataFrame([(n, s, len(s)) for n, s in kinds_of_contigs(3, (8, 8, 8), 300, 700)], "contig_id string, seq string, len int")
+    settings = P.ModelSettings(min_len=400, min_members=3, thresholds=(450, 1), support=20)
+    held, trained = [], C.trained
+
+    def counted(spark, members, support):
+        sets = {}
+        for r in members.collect():
+            sets.setdefault(r["cluster"], set()).add((r["seq"], r["reverse"]))
+        held.append(sets)
+        return trained(spark, members, support)
+
+    monkeypatch.setattr(C, "trained", counted)
+    got = sorted(map(tuple, P.by_models(spark, contigs, settings).collect()))
+    assert held and all(before.get(c) != members for before, after in zip(held, held[1:], strict=False) for c, members in after.items())
+    times, used = len(held), C.Comparison.of
+    monkeypatch.setattr(C.Comparison, "of", lambda self, state, tag: used(C.Comparison(spark, self.scratch, self.none, self.both, self.support), state, tag))
+    assert sorted(map(tuple, P.by_models(spark, contigs, settings).collect())) == got
+    assert len(held) - times > times
