@@ -266,16 +266,16 @@ def reduced_bins(spark, sf_dir):
 
 
 def distance_binning(spark, sf_dir):
-    bins, unbinned = P.by_distance(spark, _contigs(spark, sf_dir))
+    bins, unbinned = P.by_distance(spark, P.lettered(_table(spark, sf_dir, "documents")))
     return G.dump(bins, unbinned)
 
 
 def distance_grade(spark, sf_dir):
-    return _round(G.grade(*P.by_distance(spark, _contigs(spark, sf_dir))))
+    return _round(G.grade(*P.by_distance(spark, P.lettered(_table(spark, sf_dir, "documents")))))
 
 
 def organism_experiments(spark, sf_dir):
-    return _round(P.all_pairs(spark, _contigs(spark, sf_dir)))
+    return _round(P.all_pairs(spark, P.lettered(_table(spark, sf_dir, "documents"))))
 
 
 def chi_squared_pairs(spark, sf_dir):

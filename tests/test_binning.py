@@ -14,7 +14,7 @@ from loomstrand.operators import contexts as X
 from loomstrand.operators import distances as D
 from loomstrand.operators import grading as G
 from loomstrand.operators.distances import chi_squared, variation_kernel
-from loomstrand.operators.graph import components, leaders
+from loomstrand.operators.graph import components, leaders, sized_components, sized_leaders
 from loomstrand import queries as Q
 from loomstrand.plans import binnings as P
 from loomstrand.scratch import Scratch
@@ -630,3 +630,51 @@ def test_only_changed_clusters_are_trained(spark, monkeypatch):
     monkeypatch.setattr(C.Comparison, "of", lambda self, state, tag: used(C.Comparison(spark, self.scratch, self.none, self.both, self.support), state, tag))
     assert sorted(map(tuple, P.by_models(spark, contigs, settings).collect())) == got
     assert len(held) - times > times
+
+
+def test_variation_links_and_nearest_of_no_pairs(spark, monkeypatch):
+    """Components and nearest bins of blocks are those of all pairs, for families, copies, single rows and empty profiles, in one block and in many."""
+    r = np.random.default_rng(11)
+    kinds = r.dirichlet(np.full(256, 2.0), 3)
+    rows = [r.multinomial(int(n), kinds[i % 3]) / int(n) for i, n in enumerate(r.integers(900, 9000, 90))]
+    rows += [r.multinomial(1500, 0.93 * kinds[0] + 0.07 * kinds[1]) / 1500 for _ in range(8)] + [rows[0], rows[1], np.zeros(256), r.dirichlet(np.full(256, 0.1))]
+    rows = [(f"c{i}", i, [float(v) for v in p]) for i, p in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "contig_id string, rank long, p array<double>").localCheckpoint()
+    pairs = D.variation_pairs(frame).localCheckpoint()
+    close = pairs.where("dist < 0.13")
+    assert 0 < close.count() < len(rows) * (len(rows) - 1) // 2
+    bins = B.created(Scratch(spark, "t"), frame, close).localCheckpoint()
+    want, near = sorted(map(tuple, bins.collect())), sorted(map(tuple, B.with_nearest(frame, pairs, bins, 0.3).collect()))
+    assert 1 < len(want) < len(near) < len(rows)
+    for most in (16, 4096):
+        monkeypatch.setattr(D, "LINK_ROWS", most)
+        links = D.variation_links(Scratch(spark, "t"), frame.select(F.col("rank").alias("node"), "p"), 0.13)
+        assert links.count() < close.count() / 2
+        assert sorted(map(tuple, B.linked(Scratch(spark, "t"), frame, links).collect())) == want
+        assert sorted(map(tuple, B.with_nearest_of(frame, bins, 0.3).collect())) == near
+
+
+def test_distance_binning_lists_no_pairs(spark, monkeypatch):
+    """Distance binning takes no list of a selection's pairs: nearly all pairs of one organism are close, so it grew with their square."""
+    contigs = spark.createDataFrame([(n, s, len(s)) for n, s in kinds_of_contigs(3, (8, 8), 600, 900)], "contig_id string, seq string, len int")
+
+    def listed(*_):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(P, "variation_pairs", listed, raising=False)
+    bins, rest = P.by_distance(spark, contigs, P.DistanceSettings(low=0, high=100, creation=0.2, selection=0.3, minimal=True))
+    assert bins.count() + rest.count() == 16 and bins.count()
+
+
+def test_few_links_in_one_task(spark):
+    r = random.Random(4)
+    links = [(r.randrange(40), r.randrange(40)) for _ in range(35)] + [(50, i) for i in range(51, 60)]
+    frame = spark.createDataFrame(links, "a int, b int")
+    for one, rounds in ((sized_components, components), (sized_leaders, leaders)):
+        assert sorted(map(tuple, one(Scratch(spark, "t"), frame).collect())) == sorted(map(tuple, rounds(Scratch(spark, "t"), frame).collect()))
+
+
+def test_lettered_same_as_contigs(spark):
+    rows = [(1, "en", "Ab, zZéİ x\n"), (2, None, None), (3, "de", ""), (4, "fr", "K 12 \U0001f600 q")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert sorted(map(tuple, P.lettered(frame).collect())) == sorted(map(tuple, P.contigs_of(frame).collect()))
