@@ -39,13 +39,18 @@ def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _selected(spark: SparkSession, sf_dir: str, below: float | None = None) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
-    """Scratch, the length selection, its shares and its pairs, all or those under ``below``."""
+def _selected_shares(spark: SparkSession, sf_dir: str) -> tuple[Scratch, DataFrame, DataFrame]:
+    """Scratch, the length selection and its shares."""
     scratch = Scratch(spark, "query")
-    contigs = scratch.write(P.spread(_contigs(spark, sf_dir)), "contigs")
+    contigs = scratch.write(P.spread(P.lettered(_table(spark, sf_dir, "documents"))), "contigs")
     selection = scratch.write(B.percentile_selection(contigs), "selection")
     own = M.profiles(contigs.join(selection.select("contig_id"), "contig_id", "left_semi")).select("contig_id", M.shares("counts").alias("p"))
-    own = scratch.write(own, "shares")
+    return scratch, selection, scratch.write(own, "shares")
+
+
+def _selected(spark: SparkSession, sf_dir: str, below: float | None = None) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """Scratch, the length selection, its shares and its pairs, all or those under ``below``."""
+    scratch, selection, own = _selected_shares(spark, sf_dir)
     return scratch, selection, own, D.variation_pairs(own, below)
 
 
@@ -196,7 +201,7 @@ def length_thresholds(spark, sf_dir):
 
 
 def variation_pairs(spark, sf_dir):
-    return _round(_selected(spark, sf_dir)[3])
+    return D.every_variation(_selected_shares(spark, sf_dir)[2], 6)
 
 
 def sparse_variation_pairs(spark, sf_dir):

@@ -678,3 +678,18 @@ def test_lettered_same_as_contigs(spark):
     rows = [(1, "en", "Ab, zZéİ x\n"), (2, None, None), (3, "de", ""), (4, "fr", "K 12 \U0001f600 q")]
     frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert sorted(map(tuple, P.lettered(frame).collect())) == sorted(map(tuple, P.contigs_of(frame).collect()))
+
+
+def test_every_variation_rounded_where_it_is_taken(spark, monkeypatch):
+    """All pairs with distances rounded as by SQL, halves upwards, within blocks and across; Spark's slow rounding of decimals is not in the plan."""
+    r = np.random.default_rng(2)
+    rows = [r.multinomial(6400 if i % 2 else 3200, r.dirichlet(np.full(256, 1.0))) / (6400 if i % 2 else 3200) for i in range(40)]
+    near = rows[1].copy()
+    near[near.argmax()] -= 4 / 6400
+    near[near.argmin()] += 4 / 6400
+    rows = [(f"c{i}", [float(v) for v in p]) for i, p in enumerate([*rows, rows[0], near, np.zeros(256)])]
+    frame = spark.createDataFrame(rows, "contig_id string, p array<double>")
+    want = {(a, b): d for a, b, d in D.variation_pairs(frame).withColumn("dist", F.round("dist", 6)).collect()}
+    found = D.every_variation(frame, 6)
+    assert {(a, b): d for a, b, d in found.collect()} == want and len(want) == 43 * 42 // 2
+    assert (D._rounded(np.array([0.0003125, 0.0000005, 0.1234564999999]), 6) == [0.000313, 0.000001, 0.123456]).all()
