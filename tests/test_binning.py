@@ -724,3 +724,25 @@ def test_z_scores_without_variance(spark):
         stats = spark.createDataFrame([(1, 1.0, var), (2, 0.0, 1e-30)], "cluster int, mean double, var double")
         assert {tuple(x) for x in G.score_histogram(state, found, stats).collect()} == {(1, 10, 3, 0), (1, -10, 1, 0), (2, 10, 1, 0)}
         assert {x["contig_id"]: x["cluster"] for x in G.outliers(state, found, stats).collect()} == {"a": 1, "b": 0, "c": 1, "d": 1, "e": 2}
+
+
+@pytest.mark.parametrize("longest", [1, 3, 11])
+def test_contexts_looked_up_at_once(spark, monkeypatch, longest):
+    """Scoring looks up the last bases of a context at once: as many as the clusters' tries need, at most JUMP, and walks on from there, in all pieces."""
+    for name, value in (("HEAVY", 120), ("BUCKET", 500), ("PASS", 1500), ("PIECE", 800), ("LEVELS", 2), ("JUMP", longest)):
+        monkeypatch.setattr(X, name, value)
+    r = random.Random(9)
+    unit, make = "".join(r.choices("ACGT", k=70)), lambda k: "".join(r.choices("ACGTN", [4, 3, 2, 1, 0.1], k=k))
+    train = {1: [unit + make(200) for _ in range(10)], 2: [make(200) + unit for _ in range(6)], 3: ["", "N", "A", "NNAC"]}
+    rows = [(f"c{k}_{i}", s, False, k) for k, own in train.items() for i, s in enumerate(own)]
+    models = X.trained(spark, spark.createDataFrame(rows, "contig_id string, seq string, reverse boolean, cluster int"), 5, 40)
+    pieces = list(models.pieces())
+    sizes = {piece.jump(c)[0] for piece in pieces for c in piece.clusters}
+    assert len(pieces) > 2 and max(sizes) <= longest and (longest < 11 or len(sizes) > 1)
+    seqs, sums = [s for _, s, _, _ in rows], {}
+    for piece in pieces:
+        for c, score, squares in piece.scored([X.coded(s) for s in seqs], True):
+            assert (squares >= 0).all()
+            sums[c] = sums.get(c, 0) + score
+    for c, own in train.items():
+        assert sums[c] == pytest.approx([walked(own, s, 5, 40) for s in seqs], abs=1e-6)
